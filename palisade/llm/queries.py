@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .media import op3_media
+from .mixing import OP9_SQL, op9_mixing
+from .sharding import op4_sharding
 from .simhash import op2_simhash
 
-QUERIES = {f.__name__: f for f in (op2_simhash,)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_media, op4_sharding, op9_mixing)}
+ORACLE_SQL: dict[str, str] = {"op9_mixing": OP9_SQL}
