@@ -35,7 +35,7 @@ def _powers(base: int, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006  k
     if have is None or len(have) < n:
         size = max(n, 4096)
         with np.errstate(over="ignore"):
-            have = np.concatenate(([1], np.cumprod(np.full(size - 1, base, np.uint64)))).astype(np.uint64)
+            have = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, base, np.uint64))), dtype=np.uint64)
         known[base] = have
     return have[:n]
 
