@@ -30,6 +30,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
+
 END = "</w>"
 #: Unicode white space, as a class; Python's own also takes the separators U+001C to U+001F.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -243,7 +245,11 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
-    """The ``k`` most frequent words of the whole corpus; only they reach the driver. Ties go by the word."""
+    """The most frequent words of the whole corpus, at most ``k``: all those above the lowest level that so many reach.
+
+    Levels are eighths of powers of two of the count. Only the number of words of each level and the chosen words reach
+    the driver. Words that occur once are never among them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
@@ -261,8 +267,16 @@ def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
         yield flush()
 
     rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
-    top = rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(k)
-    return [r["word"] for r in top.collect()]
+    counted = rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word", F.floor(F.log2("n") * 8).cast("int").alias("level"))
+    counted, total, least = materialize(counted, "word-levels"), 0, None
+    for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        total += r["count"]
+        if total > k:
+            break
+        least = r["level"]
+    found = [] if least is None else [r["word"] for r in counted.where(F.col("level") >= least).select("word").collect()]
+    release(counted)
+    return found
 
 
 def compiled(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:

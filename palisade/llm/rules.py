@@ -38,10 +38,13 @@ def _with_repeated_words(df: DataFrame) -> DataFrame:
     window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
     same = lambda i, j: reduce(lambda a, b: a & b, [F.get("words", i + k) == F.get("words", j + k) for k in range(3)])
     low, n, places = F.lit((1 << _POS) - 1).cast("long"), F.col("n"), F.sequence(F.lit(0), F.col("n") - 3)
-    packed = F.transform(places, lambda i: F.shiftleft(window(i), _POS).bitwiseOR(i.cast("long")))
-    wide = F.transform(places, lambda i: F.struct(window(i).alias("h"), i.alias("i")))
-    df = df.withColumn("packed", F.when((n >= 3) & (n <= 1 << _POS), F.sort_array(packed)))
-    df = df.withColumn("wide", F.when(n > 1 << _POS, F.sort_array(wide)))
+    df = df.withColumn("hashes", F.when(n >= 3, F.transform(places, window)))
+    # most texts repeat no window: only the others sort theirs
+    df = df.withColumn("again", F.size(F.array_distinct("hashes")) < F.size("hashes"))
+    packed = F.transform("hashes", lambda h, i: F.shiftleft(h, _POS).bitwiseOR(i.cast("long")))
+    wide = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    df = df.withColumn("packed", F.when(F.col("again") & (n <= 1 << _POS), F.sort_array(packed)))
+    df = df.withColumn("wide", F.when(F.col("again") & (n > 1 << _POS), F.sort_array(wide)))
 
     def near(column: str, key, place) -> Column:
         twin = lambda x, y: (key(x) == key(y)) & same(place(x), place(y))
