@@ -17,6 +17,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -347,8 +348,6 @@ def masked(text: str, model: SemiCRF) -> str:
 
 def mask_pii(docs: DataFrame, model: SemiCRF | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars``, if there, made to fit; null texts stay null."""
-    import pandas as pd
-
     model = model or trained()
 
     @F.pandas_udf("string")
