@@ -26,6 +26,7 @@ COMMON = (
     "el los las en por con una del para es se"
 ).split()
 _POS = 21
+_CODE = 64
 
 
 def _with_repeated_words(df: DataFrame) -> DataFrame:
@@ -74,11 +75,15 @@ def features(docs: DataFrame) -> DataFrame:
     size = F.length
     counts = [size("t") - size("t1"), size("t2") - size("t3"), size("t3") - size("t4"), size("t4") - size("t5"), size("t5") - size("t6"), size("t6")]
     df = _with_repeated_words(df).withColumn("sub", F.filter("words", lambda w: w.isin(COMMON)))
-    seen = [F.size("sub") - F.size(F.array_remove("sub", w)) for w in COMMON]
+    # one character per common word, so that counting a word is one replace; a long chain of array functions in one
+    # generated method would be past the size that the JVM compiles
+    code = lambda i: F.char(F.lit(_CODE) + i)
+    df = df.withColumn("codes", F.array_join(F.transform("sub", lambda w: code(F.array_position(F.lit(COMMON), w))), ""))
+    seen = F.transform(F.sequence(F.lit(1), F.lit(len(COMMON) + 1)), lambda i: F.when(i <= len(COMMON), size("codes") - size(F.replace("codes", code(i), F.lit("")))).otherwise(F.col("n") - F.size("sub")).cast("double"))
     return df.select(
         "doc_id", "lang", F.col("n").cast("long").alias("n_words"), (size("t") - size("t1") + size("t2")).cast("long").alias("word_chars"), (size("t5") - size("t6")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words",
-        F.array(*[c.cast("double") for c in counts]).alias("chars"), F.array(*[c.cast("double") for c in seen], (F.col("n") - F.size("sub")).cast("double")).alias("common"),
+        F.array(*[c.cast("double") for c in counts]).alias("chars"), seen.alias("common"),
     )
 
 
