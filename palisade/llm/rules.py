@@ -133,4 +133,4 @@ def judge(docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.31, le
 
 def op6_rules(spark, sf_dir):
     found = judge(documents(spark, sf_dir))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 6).alias(c) for c in ("char_distance", "word_distance")])
