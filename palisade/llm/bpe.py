@@ -8,7 +8,9 @@ merged exactly by the tokenizer's ranks.
 
 from __future__ import annotations
 
+import contextlib
 import functools
+import gc
 import hashlib
 import heapq
 import json
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release
 
 END = "</w>"
+_ID = 24
+_KEPT = 400_000
 #: Unicode white space, as a class; Python's own also takes the separators U+001C to U+001F.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
@@ -70,6 +74,10 @@ class Vocabulary:
         pairs = (p if isinstance(p, list) else p.split(" ") for p in model["merges"])
         self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
         self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
+        # the same merges over ids: a pair packed into one number has a rank, a rank the id of what it makes
+        self.packed = {self.ids[a] << _ID | self.ids[b]: r for (a, b), r in self.ranks.items()}
+        self.made = [self.ids[a + b] for a, b in self.ranks]
+        self.bytes = [self.ids[c] for c in byte_characters()], [self.ids[c + END] for c in byte_characters()]
         self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
     def merge(self, word: str) -> list[str]:
@@ -82,16 +90,19 @@ class Vocabulary:
         return self._merge_long(parts) if len(parts) > 40 else self._merge_short(parts)
 
     def _merge_short(self, parts: list[str]) -> list[str]:
-        ranks, none = self.ranks, len(self.ranks)
-        found = [ranks.get(p, none) for p in zip(parts, parts[1:], strict=False)]
+        return [self.tokens[i] for i in self._merge_ids([self.ids[p] for p in parts])]
+
+    def _merge_ids(self, parts: list[int]) -> list[int]:
+        get, none = self.packed.get, len(self.made)
+        found = [get(a << _ID | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while found and (low := min(found)) < none:
             i = found.index(low)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del found[i]
+            parts[i] = new = self.made[low]
+            del parts[i + 1], found[i]
             if i < len(found):
-                found[i] = ranks.get((parts[i], parts[i + 1]), none)
+                found[i] = get(new << _ID | parts[i + 1], none)
             if i:
-                found[i - 1] = ranks.get((parts[i - 1], parts[i]), none)
+                found[i - 1] = get(parts[i - 1] << _ID | new, none)
         return parts
 
     def _merge_long(self, parts: list[str]) -> list[str]:
@@ -115,7 +126,13 @@ class Vocabulary:
         return [p for p in parts if p]
 
     def encode(self, word: str) -> list[int]:
-        return [self.ids[p] for p in self.merge(word)]
+        raw = word.encode()
+        if not 0 < len(raw) <= 40:
+            return [self.ids[p] for p in self.merge(word)]
+        inner, last = self.bytes
+        parts = [inner[b] for b in raw]
+        parts[-1] = last[raw[-1]]
+        return self._merge_ids(parts)
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -197,44 +214,68 @@ class Lexicon:
 
 
 class _Pieces(dict):
-    """Word to (number of ids, ids, tokens), ids and tokens as joined bytes; forgets all once large."""
+    """Word to (ids, tokens), each as joined bytes. Once large, it is set aside and words come back from there or are found anew."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         super().__init__()
         self.vocabulary, self.lexicon = vocabulary, lexicon
+        self.aside: dict[str, tuple[bytes, bytes]] = {}
+        self.written = {i: (b"%d" % i, t.encode()) for i, t in vocabulary.tokens.items()}
 
-    def __missing__(self, word: str) -> tuple[int, bytes, bytes]:
-        ids = self.lexicon.find(word.encode())
-        if ids is None:
-            ids = self.vocabulary.encode(word)
-        piece = (len(ids), b" ".join(b"%d" % i for i in ids), " ".join(map(self.vocabulary.tokens.__getitem__, ids)).encode())
-        if len(self) > 300_000:
+    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+        if len(self) >= _KEPT:
+            self.aside = dict(self)
             self.clear()
+        piece = self.aside.get(word)
+        if piece is None:
+            ids = self.lexicon.find(word.encode())
+            if ids is None:
+                ids = self.vocabulary.encode(word)
+            if len(ids) == 1:
+                piece = self.written[ids[0]]
+            else:
+                numbers, tokens = zip(*map(self.written.__getitem__, ids), strict=True)
+                piece = b" ".join(numbers), b" ".join(tokens)
         self[word] = piece
         return piece
 
 
+@contextlib.contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the search for reference cycles, which takes a tenth of the time here and finds none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Codec:
     """Encodes and decodes texts with a vocabulary and a lexicon."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
         self.vocabulary, self.pieces = vocabulary, _Pieces(vocabulary, lexicon)
 
-    def _words(self, text: str) -> Iterator[list[tuple[int, bytes, bytes]]]:
+    def _words(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
         cut, at = self.vocabulary.cut, 0
         for m in cut.finditer(text) if cut and "<" in text else ():
             yield list(map(self.pieces.__getitem__, pretokens(text[at : m.start()])))
-            yield [(1, b"%d" % self.vocabulary.special[m[0]], m[0].encode())]
+            yield [(b"%d" % self.vocabulary.special[m[0]], m[0].encode())]
             at = m.end()
         yield list(map(self.pieces.__getitem__, pretokens(text[at:])))
 
     def digest(self, text: str) -> tuple[int, bytes, bytes]:
         """Number of ids, the ids and the decoded text, each joined by single spaces."""
-        pieces = [p for some in self._words(text) for p in some]
-        if not pieces:
-            return 0, b"", b""
-        counts, ids, tokens = zip(*pieces, strict=True)
-        return sum(counts), b" ".join(ids), b" ".join(tokens)
+        ids, tokens = [], []
+        for some in self._words(text):
+            if some:
+                numbers, names = zip(*some, strict=True)
+                ids.append(b" ".join(numbers))
+                tokens.append(b" ".join(names))
+        joined = b" ".join(ids)
+        return joined.count(b" ") + bool(joined), joined, b" ".join(tokens)
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for i in self.digest(text)[1].split()]
@@ -260,8 +301,11 @@ def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
             return out
 
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                counts.update(pretokens(text or ""))
+            texts = batch.column("text").to_pylist()
+            for at in range(0, len(texts), 500):
+                with _uncollected():
+                    for text in texts[at : at + 500]:
+                        counts.update(pretokens(text or ""))
                 if len(counts) > 500_000:
                     yield flush()
         yield flush()
@@ -325,7 +369,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataF
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for at in range(0, len(texts), 500):
-                n, ids, decoded = zip(*(codec.digest(t or "") for t in texts[at : at + 500]), strict=True)
+                with _uncollected():
+                    n, ids, decoded = zip(*(codec.digest(t or "") for t in texts[at : at + 500]), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     return _few(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
@@ -343,9 +388,10 @@ def token_digests(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataFram
         codec = _codec(SparkFiles.get(tokens), SparkFiles.get(lexicon))
         for batch in batches:
             rows = []
-            for text in batch.column("text").to_pylist():
-                n, ids, decoded = codec.digest(text or "")
-                rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+            with _uncollected():
+                for text in batch.column("text").to_pylist():
+                    n, ids, decoded = codec.digest(text or "")
+                    rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
