@@ -36,7 +36,7 @@ from .common import materialize, release
 
 END = "</w>"
 _ID = 24
-_KEPT = 400_000
+_KEPT = 300_000
 #: Unicode white space, as a class; Python's own also takes the separators U+001C to U+001F.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
