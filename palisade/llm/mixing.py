@@ -7,7 +7,7 @@ it, one random offset is added, and a document is emitted once per integer bound
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +33,10 @@ def water_filled(sources: DataFrame, most: float = 3.0) -> DataFrame:
     return ranked.withColumn("target", target).drop("_cap", "_ratio", "_level")
 
 
+def _words() -> Column:
+    return F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long")
+
+
 def mix(docs: DataFrame, seed: int = 7, most: int = 3, cycle: int = 3, cell_rows: int = 2_000_000) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies) of every row of ``docs`` (doc_id, text, source).
 
@@ -40,8 +44,7 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3, cycle: int = 3, cell_rows
     repeating. A source without words has target 0. The order within a source, and so the result, depends only on
     doc_id, size and ``seed``; rows alike in doc_id and size are interchangeable. Other columns are ignored.
     """
-    words = F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"))
     sized = materialize(sized, "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
@@ -63,14 +66,15 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Rows that repeat a doc_id count as one draw each; they are numbered so that each finds its own copies.
     """
-    plan = mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "copies")
-    turn = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(keys[0]))
-    plan = plan.withColumn("_turn", F.row_number().over(Window.partitionBy("_id", "_size", "_source").orderBy(F.desc("copies"))))
-    words = F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long")
-    rows = docs.withColumn("_words", words).withColumn("_row", turn("doc_id", "_words", "source"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_row") == F.col("_turn"))
-    taken = rows.join(plan, on).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
-    return taken.drop("_copy")
+    keys = ["id", "size", "source"]
+    numbered = lambda df, order: df.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    plan = numbered(mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("id"), "size", "source", "copies"), F.desc("copies"))
+    # the whole row travels as one value, so that no column of it can clash
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _words().alias("size"), F.col("source").cast("string").alias("source"))
+    rows = numbered(rows, F.col("id"))
+    on = [rows[k].eqNullSafe(plan[k]) for k in (*keys, "turn")]
+    taken = rows.join(plan, on).select(rows["row"], F.explode(F.sequence(F.lit(1), plan["copies"].cast("int"))))
+    return taken.select("row.*")
 
 
 def op9_mixing(spark, sf_dir):

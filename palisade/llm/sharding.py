@@ -36,8 +36,9 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, cell_row
     quota = max(1, n // shards)
     groups = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     start = F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int")
-    # a piece holds an eighth of a quota at most on average, so that rounding to whole pieces fills shards well
-    pieces = F.ceil(F.col("members") * 8 / quota)
+    # a piece holds an eighth of a quota at most on average, so that rounding to whole pieces fills shards well, and no
+    # more than one task sorts
+    pieces = F.ceil(F.col("members") / F.lit(min(quota / 8, float(cell_rows))))
     piece = F.pmod(F.xxhash64("key", "doc_id"), pieces).cast("int")
     state = base.join(groups, "key", "left").select(
         "doc_id", "size", "text_crc32", F.when(F.col("members").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("key", piece)).alias("node"),

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_texts, materialize, release
@@ -54,15 +54,20 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, width) for t in binary_texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(prints)], ["doc_id", "mark", "fp"])
 
     return run
 
 
+def _mark(text: Column) -> Column:
+    """Tells rows apart that repeat a doc_id with another text; never null."""
+    return F.xxhash64(text.cast("string"))
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) of every row; null and empty texts get fingerprint 0."""
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return few.mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    """(doc_id, mark, fp) of every row, mark a hash of the text; null and empty texts get fingerprint 0."""
+    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    return few.mapInArrow(_fingerprints(width), "doc_id long, mark long, fp long")
 
 
 _SYNDROME = np.zeros(1 << 16, np.uint8)
@@ -239,6 +244,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def _components(prints: DataFrame, first: Column, distance: int) -> DataFrame:
+    """(fp, first, root) of every fingerprint: its least ``first`` and the fingerprint that stands for its component."""
+    reps = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    roots = connected_components(links(reps.select("fp"), distance))
+    return reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -246,19 +258,25 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
     ``distance`` bits. Null and empty texts have fingerprint 0 and are linked like any other. Repeated rows stay; a
     null doc_id never becomes a component_id unless its component has no other. Other columns are ignored.
     """
-    prints = materialize(fingerprints(docs, width), "fingerprints")
-    reps = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected_components(links(reps.select("fp"), distance))
-    reps = reps.join(roots, reps.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    prints = materialize(fingerprints(docs, width).select("doc_id", "fp"), "fingerprints")
+    reps = _components(prints, F.col("doc_id"), distance)
     lowest = reps.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(reps.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def deduplicate(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """One row of each near-duplicate component: that with the smallest doc_id (one of its repeats), all columns."""
-    kept = near_duplicates(docs, distance, width).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept._id), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each near-duplicate component, all columns: that with the smallest doc_id.
+
+    A null doc_id comes last, and of rows that repeat a doc_id within a component the smallest text hash counts. Rows
+    that repeat a doc_id with a text that is no near copy are components of their own and stay. Of rows alike in
+    doc_id and text, any one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
+    prints = materialize(fingerprints(docs, width), "fingerprints")
+    kept = _components(prints, order, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _mark(F.col("text")).alias("mark"))
+    kept = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    return kept.dropDuplicates(["id", "mark"]).select("row.*")
 
 
 def op2_simhash(spark, sf_dir):

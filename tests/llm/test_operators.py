@@ -42,6 +42,24 @@ def test_simhash(docs, rows):
     assert found == collections.Counter((i, int(p.astype(np.int64)), low[k]) for (i, _), p, k in zip(rows, prints, label, strict=True))
 
 
+def test_deduplicate_keeps_one_row_of_each_component(spark, docs, rows):
+    more = spark.createDataFrame([(5, "another text under an id that is used"), (None, "a first text without any id"), (None, "a second one that has none either"), (None, None)], "doc_id long, text string")
+    every = docs.select("doc_id", "text", "fp").unionByName(more, allowMissingColumns=True)
+    texts = [(i, t or "") for i, t in ((r.doc_id, r.text) for r in every.collect())]
+    prints = np.array([simhash.fingerprint(t.encode(), 5) for _, t in texts], np.uint64)
+    near, label = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3, np.arange(len(texts))
+    while not (label == (new := np.where(near, label[None, :], len(texts)).min(axis=1))).all():
+        label = new
+    groups = [[texts[k] for k in np.flatnonzero(label == g)] for g in sorted(set(label.tolist()))]
+    got = simhash.deduplicate(every, width=5)
+    assert got.columns == every.columns
+    left = [(r.doc_id, r.text or "") for r in got.collect()]
+    assert len(left) == len(groups)
+    for group in groups:
+        least = min((i for i, _ in group if i is not None), default=None)
+        assert sum(x in left for x in set(group) if x[0] == least) == 1
+
+
 def test_links_lose_none_even_when_anchors_are_dealt(spark):
     r = random.Random(2)
     values = {r.getrandbits(64) for _ in range(50)}
@@ -96,7 +114,15 @@ def test_sharding_and_mixing(docs, rows):
     assert len(mixed) == len(rows) and all(0 <= r.copies <= 3 for r in mixed)
     assert abs(sum({r.source: r.target for r in mixed}.values()) - sum({r.source: r.source_size for r in mixed}.values())) < 1e-6
     assert sorted(map(str, mixed)) == sorted(map(str, mixing.mix(docs).collect()))
-    assert mixing.mixed_documents(docs).count() == sum(r.copies for r in mixed)
+    clash = docs.withColumnsRenamed({"fp": "copies", "anchor": "turn", "mark": "row", "score": "id"})
+    taken = mixing.mixed_documents(clash)
+    assert taken.columns == clash.columns
+    assert collections.Counter(r.doc_id for r in taken.collect()) == +collections.Counter({i: sum(r.copies for r in mixed if r.doc_id == i) for i in {r.doc_id for r in mixed}})
+    # pieces of large groups may be as small as wished
+    cut = sharding.balanced_shards(docs.unionByName(docs), 7, cell_rows=3).collect()
+    sizes = collections.Counter(r.shard for r in cut)
+    assert len(cut) == 2 * len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len({(r.shard, r.slot) for r in cut}) == len(cut)
 
 
 def test_bpe(docs, rows):

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from palisade.llm import bpe, pii, quality, simhash
 
@@ -97,6 +98,20 @@ def test_stages_keep_the_columns_of_documents(spark):
         assert stage(spark, docs, WHERE).columns == docs.columns, name
 
 
+def test_stages_take_nulls_repeats_long_texts_and_empty_tables(spark):
+    import corpus_pipeline
+
+    rows = [(1, None, "en", "a"), (2, "", None, None), (3, "word " * 50_000, "en", "a"), (3, "word " * 50_000, "en", "a"), (3, "a text that differs", "fr", "b"), (None, None, None, None), (None, "a@b.co has no id", "en", "a")]
+    kind = spark.read.parquet(f"{WHERE}/documents.parquet").schema
+    docs = spark.createDataFrame([(i, t, lang, source, None if t is None else len(t)) for i, t, lang, source in rows], kind).withColumn("copies", F.lit(1)).withColumn("score", F.lit("x"))
+    for table in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            left = stage(spark, table, WHERE)
+            assert left.count() <= 3 * table.count(), name
+            assert name == "bpe" or left.columns == docs.columns, name
+    assert corpus_pipeline.near_dedup(spark, docs, WHERE).count() == 4
+
+
 def test_classifier_on_held_out_rows(spark):
     where = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{where}/documents.parquet")
