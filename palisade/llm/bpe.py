@@ -339,7 +339,7 @@ def compiled(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
     return compile_lexicon(entries)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)  # every run has a lexicon of its own, so an earlier one's words are of no use
 def _codec(vocabulary: str, lexicon: str) -> Codec:
     return Codec(Vocabulary(vocabulary), Lexicon.open(lexicon))
 
