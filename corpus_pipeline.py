@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from palisade.llm.bpe import default_vocabulary, token_digests
 from palisade.llm.common import documents, materialize
+from palisade.llm.jaccard import deduplicate_similar
 from palisade.llm.mixing import mixed_documents
 from palisade.llm.pii import mask_pii
 from palisade.llm.quality import keep_good, labels_table
-from palisade.llm.simhash import deduplicate
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id. Shingles have five words."""
-    return deduplicate(docs, width=5)
+    """One document of each group of near copies stays: that with the smallest doc_id.
+
+    Near copies are similar to 0.8 or more in their shingles of five words.
+    """
+    return deduplicate_similar(docs, width=5)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,6 +264,14 @@ def near_duplicates(docs: DataFrame, distance: int = 3, width: int = 3) -> DataF
     return prints.join(reps.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def first_rows(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the least ``first`` of each root, for ``reps`` (first, root); of rows alike any one."""
+    kept = reps.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _mark(F.col("text")).alias("mark"))
+    kept = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
+    return kept.dropDuplicates(["id", "mark"]).select("row.*")
+
+
 def deduplicate(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
     """One row of each near-duplicate component, all columns: that with the smallest doc_id.
 
@@ -273,10 +281,7 @@ def deduplicate(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame
     """
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     prints = materialize(fingerprints(docs, width), "fingerprints")
-    kept = _components(prints, order, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _mark(F.col("text")).alias("mark"))
-    kept = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")), "left_semi")
-    return kept.dropDuplicates(["id", "mark"]).select("row.*")
+    return first_rows(docs, _components(prints, order, distance))
 
 
 def op2_simhash(spark, sf_dir):
