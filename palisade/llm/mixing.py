@@ -42,7 +42,8 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3, cycle: int = 3, cell_rows
 
     size is the number of words (null text: 0). Sources in code point order, null last, weigh 1, 2, ... ``cycle``,
     repeating. A source without words has target 0. The order within a source, and so the result, depends only on
-    doc_id, size and ``seed``; rows alike in doc_id and size are interchangeable. Other columns are ignored.
+    doc_id, size and ``seed``, at any number of rows; rows alike in doc_id and size are interchangeable. Other columns
+    are ignored.
     """
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"))
     sized = materialize(sized, "sizes")
@@ -54,8 +55,10 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3, cycle: int = 3, cell_rows
     lots = 1 + sized.count() // cell_rows
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     cells = sized.withColumn("_draw", draw).withColumn("_size", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
-    cells = cells.withColumn("_lot", F.pmod(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long"), F.lit(lots)))
-    ranked = distributed_rank(cells, ["source"], ["_size", "_lot"], [F.col("size"), F.col("_draw"), F.col("doc_id")], "_rank")
+    # lots are ranges of the draw within one size, so cells follow the order of the rows however many there are
+    cells = cells.withColumn("_lot", F.shiftright(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") * F.lit(lots), 32))
+    cell = ["_size"] if lots == 1 else ["_size", "size", "_lot"]
+    ranked = distributed_rank(cells, ["source"], cell, [F.col("size"), F.col("_draw"), F.col("doc_id")], "_rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(F.col("_rank") * rate + F.col("_offset")) - F.floor((F.col("_rank") - 1) * rate + F.col("_offset"))
     return ranked.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
