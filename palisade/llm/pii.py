@@ -14,7 +14,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -290,25 +292,22 @@ def trained(n: int = 500, steps: int = 60, rate: float = 0.5, l2: float = 1e-3)
 
 
 def find_spans(text: str, model: SemiCRF) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
-    """The base spans, and all spans: the base ones and what the field finds besides; by start, kind and end."""
+    """The base spans, and all spans: the base ones and what the field finds besides; by start, kind and end.
+
+    What the field finds goes only if it lies wholly inside one base span.
+    """
     base = base_spans(text)
     every = set(base)
-    taken = [(s, e) for _, s, e in base]
+    # starts of the base spans, and how far those up to each start reach
+    starts, reach = sorted(s for _, s, _ in base), list(accumulate((e for _, _, e in sorted(base, key=lambda x: x[1])), max))
     for start, end in regions(text):
         for kind, s, e in model.decode(text, *_widen(text, start, end)):
-            if kind not in BASE and not any(a < e and s < b for a, b in _near(taken, s, e)):
+            k = bisect_right(starts, s)
+            if kind not in BASE and not (k and reach[k - 1] >= e):
                 every.add((kind, s, e))
     return base, sorted(every, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def _near(taken: list[tuple[int, int]], s: int, e: int) -> list[tuple[int, int]]:
-    """Spans that start shortly before ``e``; ``taken`` is sorted by start."""
-    from bisect import bisect_left
-
-    k = bisect_left(taken, (e, 0))
-    return taken[max(0, k - 8) : k]
-
-
 def _joined(spans) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 

@@ -10,3 +10,14 @@ def test_mix_is_the_same_however_many_cells(spark):
     docs = spark.createDataFrame([(i, "w " * r.choice((0, 1, 1, 5, 90, 91, 400)), f"s{i % 3}") for i in range(600)], "doc_id long, text string, source string")
     whole = sorted(map(str, mixing.mix(docs).collect()))
     assert all(sorted(map(str, mixing.mix(docs, cell_rows=n).collect())) == whole for n in (7, 250))
+
+
+def test_secret_that_holds_a_card_is_found_and_masked_whole():
+    from palisade.llm import pii
+
+    key = "ab12cd34ef" + "a4111111111111111b" + "0123456789ab"
+    text = f'x token = "{key}" end'
+    base, every = pii.find_spans(text, pii.trained())
+    assert [k for k, _, _ in base] == ["card"] and set(base) < set(every)
+    assert ("secret", text.index(key), text.index(key) + len(key)) in every
+    assert pii.masked(text, pii.trained()) == 'x token = "<secret>" end'
