@@ -1,9 +1,10 @@
 """Sharding by balanced label propagation, in DataFrame functions only.
 
 Documents with equal texts are linked. Every document starts in a shard by hash; in each round linked documents move
-to the shard that holds most of their neighbours, as far as the quota of that shard allows. Groups too large for one
-shard are cut into pieces that propagate on their own. At the end the counts are made exact: each shard keeps its
-linked documents first, and those over the quota, mostly without any link, fill the shards below it.
+to the shard that holds most of their neighbours, as far as the quota of that shard allows, and in the last round
+wherever that is. Groups too large for one shard are cut into pieces that propagate on their own. At the end the
+counts are made exact: each shard keeps its linked documents first, large groups before small ones, and those over the
+quota fill the shards below it, group by group. At most one group is cut where a shard is full or filled up.
 """
 
 from __future__ import annotations
@@ -36,9 +37,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, cell_row
     quota = max(1, n // shards)
     groups = base.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     start = F.pmod(F.xxhash64("doc_id", "key"), F.lit(shards)).cast("int")
-    # a piece holds an eighth of a quota at most on average, so that rounding to whole pieces fills shards well, and no
-    # more than one task sorts
-    pieces = F.ceil(F.col("members") / F.lit(min(quota / 8, float(cell_rows))))
+    # only what no shard can hold is cut, into as few pieces as fit
+    pieces = F.ceil(F.col("members") / F.lit(quota))
     piece = F.pmod(F.xxhash64("key", "doc_id"), pieces).cast("int")
     state = base.join(groups, "key", "left").select(
         "doc_id", "size", "text_crc32", F.when(F.col("members").isNull(), F.xxhash64("doc_id", "text_crc32")).otherwise(F.xxhash64("key", piece)).alias("node"),
@@ -63,8 +63,12 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, cell_row
     counts = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}  # a row per shard
     goal = [n // shards + (s < n % shards) for s in range(shards)]
     lots = 1 + n // (shards * cell_rows)
-    cells = state.withColumn("_free", (~F.col("linked")).cast("int")).withColumn("_lot", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(lots)))
-    ranked = distributed_rank(cells, ["shard"], ["_free", "_lot"], [F.col("node"), F.col("doc_id")], "_rank")
+    # large groups first, so that small ones are cut where a shard is full; a group past a task is a few cells in a row
+    nodes = state.where("linked").groupBy("node").agg(F.count(F.lit(1)).alias("_n"))
+    cells = state.join(nodes, "node", "left").withColumn("_class", -F.floor(F.log2(F.coalesce("_n", F.lit(1)))).cast("int"))
+    cells = cells.withColumn("_lot", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(lots))).withColumn("_big", F.when(F.col("_n") > cell_rows, F.col("node")))
+    cells = cells.withColumn("_part", F.when(F.col("_big").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(3)), 1 + F.floor(F.col("_n") / cell_rows)))).drop("_n")
+    ranked = distributed_rank(cells, ["shard"], ["_class", "_lot", "_big", "_part"], [F.col("node"), F.col("doc_id")], "_rank")
     goals = F.array(*[F.lit(g) for g in goal])
     ranked = materialize(ranked.withColumn("_stays", F.col("_rank") <= F.get(goals, F.col("shard"))), "shard-ranked")
     release(state)
@@ -74,8 +78,8 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, cell_row
     for s in range(shards):
         total += spare[s]
         ends.append(total)
-    over = ranked.where("not _stays").select("doc_id", "size", "text_crc32", "node", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 + n // cell_rows)).alias("_cell"))
-    over = distributed_rank(over, [], ["_cell"], [F.col("node"), F.col("doc_id")], "_place")
+    over = ranked.where("not _stays").select("doc_id", "size", "text_crc32", "node", "_class", "_big", "_part", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(1 + n // cell_rows)).alias("_cell"))
+    over = distributed_rank(over, [], ["_class", "_cell", "_big", "_part"], [F.col("node"), F.col("doc_id")], "_place")
     to = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e < F.col("_place"))).cast("int")
     begins = F.array(*[F.lit(e - c - min(counts.get(s, 0), goal[s])) for s, (e, c) in enumerate(zip(ends, spare, strict=True))])
     moved = over.withColumn("shard", to).select("doc_id", "size", "text_crc32", "shard", (F.col("_place") - 1 - F.get(begins, F.col("shard"))).cast("long").alias("slot"))

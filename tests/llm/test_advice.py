@@ -21,3 +21,24 @@ def test_secret_that_holds_a_card_is_found_and_masked_whole():
     assert [k for k, _, _ in base] == ["card"] and set(base) < set(every)
     assert ("secret", text.index(key), text.index(key) + len(key)) in every
     assert pii.masked(text, pii.trained()) == 'x token = "<secret>" end'
+
+
+def _share_of_whole_groups(spark, sizes, shards):
+    import collections
+
+    from palisade.llm import sharding
+
+    texts = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    random.Random(6).shuffle(texts)
+    found = sharding.balanced_shards(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), shards).collect()
+    counts = collections.Counter(r.shard for r in found)
+    assert len(found) == len(texts) and len({(r.shard, r.slot) for r in found}) == len(texts) and max(counts.values()) - min(counts.values()) <= 1
+    where = collections.defaultdict(set)
+    for r in found:
+        where[texts[r.doc_id]].add(r.shard)
+    linked = [g for g, n in enumerate(sizes) if n > 1]
+    return sum(len(where[f"text {g}"]) == 1 for g in linked) / len(linked)
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    assert _share_of_whole_groups(spark, [300, 200] + [70] * 4 + [1] * 3220, 8) == 1
