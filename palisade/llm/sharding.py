@@ -53,8 +53,12 @@ def balanced_shards(docs: DataFrame, shards: int = 40, rounds: int = 4, cell_row
         moves = held.join(wish, "node").where("shard != wish")
         flow = moves.groupBy(F.col("wish").alias("s")).agg(F.sum("n").alias("into"))
         load = held.groupBy(F.col("shard").alias("s")).agg(F.sum("n").alias("have"))
-        # one row per shard: how much of the inflow its quota lets in
-        room = load.join(flow, "s", "full").select(F.col("s").alias("wish"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (quota * 0.98 - F.coalesce("have", F.lit(0))) / F.col("into"))).alias("rate"))
+        gone = moves.groupBy(F.col("shard").alias("s")).agg(F.sum("n").alias("out"))
+        # one row per shard: how much of the inflow its quota lets in once those that wish to leave are gone
+        free = F.lit(quota) - F.coalesce("have", F.lit(0)) + F.coalesce("out", F.lit(0))
+        rate = F.least(F.lit(1.0), F.greatest(F.lit(0.0), free / F.col("into")))
+        # in the last round all go where they wish; what is too much there is moved on group by group below
+        room = load.join(flow, "s", "full").join(gone, "s", "left").select(F.col("s").alias("wish"), (F.lit(1.0) if turn == rounds - 1 else rate).alias("rate"))
         allowed = wish.join(room.where("rate is not null"), "wish").where(_unit("node", F.lit(turn)) < F.col("rate")).select("node", "wish")
         new = state.join(allowed, "node", "left").select("doc_id", "size", "text_crc32", "node", "linked", F.when(F.col("linked"), F.coalesce("wish", "shard")).otherwise(F.col("shard")).alias("shard"))
         new = materialize(new, "shard-state")

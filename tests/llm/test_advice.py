@@ -42,3 +42,7 @@ def _share_of_whole_groups(spark, sizes, shards):
 
 def test_groups_that_fit_a_shard_stay_whole(spark):
     assert _share_of_whole_groups(spark, [300, 200] + [70] * 4 + [1] * 3220, 8) == 1
+
+
+def test_groups_find_a_shard_however_many_rows_are_linked(spark):
+    assert _share_of_whole_groups(spark, [2] * 2000, 8) > 0.99
