@@ -1,60 +1,18 @@
-"""Look-alike characters, by rule from the Unicode character data, and a short list of look-alikes that no rule gives.
+"""Look-alike characters: the table of the confusables library, shipped with its notice in ``confusables.txt``.
 
-``confusables()`` covers compatibility forms, letters with marks, and letters whose Unicode name says which ASCII
-letter they show. A complete table of one's own can be given as ordered (target, sources) pairs instead.
+A table of one's own can be given as ordered (target, sources) pairs instead.
 """
 
 from __future__ import annotations
 
 import functools
-import re
-import unicodedata
-
-# Base characters of other scripts and signs, by the ASCII character that they resemble.
-LOOK_ALIKES = {
-    "0": "⓿", "3": "ЗӠƷʒзᶾɜ", "4": "Чч", "6": "бϬ", "9": "Գ",
-    "A": "ΑАΛΔД∀₳Ꭺ", "a": "αа∂⍺ɑɒ", "B": "ΒВβß฿ᗷᏴ", "b": "ЬьъƅþЪ♭", "C": "СϹᏟⲤↃ₵", "c": "сϲᴄⲥ¢", "D": "ÐÞԀᎠ", "d": "ԁժ₫",
-    "E": "ΕЕЄΣ€Ꭼ", "e": "еєεҽ℮", "F": "ϜҒ₣", "f": "ſʃƒ∱", "G": "ԌᏀ₲", "g": "ց૭", "H": "ΗНҤᎻⲎ", "h": "һհђɥ",
-    "I": "ΙІЇᏆ", "i": "іιɩ", "J": "ЈᎫ", "j": "јϳ", "K": "ΚКҚᏦ₭", "k": "κкқ", "L": "ԼᏞⅬ", "l": "|ӏІון", "M": "ΜМᎷ", "m": "мന₥",
-    "N": "ΝИЙ₦", "n": "ηпրח", "O": "ΟОΘФΩ¤◊〇○", "o": "οоσөօð०০", "P": "ΡРᏢ₱", "p": "ρр", "Q": "Ԛ", "q": "գԛ", "R": "ЯᏒ℞", "r": "гѓ",
-    "S": "ЅՏᏚ", "s": "ѕꜱ", "T": "ΤТᎢ₮†", "t": "τтե", "U": "ՍԱ∪", "u": "υսц", "V": "ѴᏙ∨", "v": "νѵ", "W": "ԜШᎳ₩", "w": "ωшԝ",
-    "X": "ΧХӾ❌", "x": "χх×", "Y": "ΥҮУ¥", "y": "уγүч", "Z": "ΖᏃ", "z": "ʐ",
-}
-_NAME = re.compile(
-    r"(?:MATHEMATICAL [A-Z -]+|(?:NEGATIVE |CROSSED NEGATIVE )?(?:CIRCLED|SQUARED|PARENTHESIZED) |FULLWIDTH |MODIFIER LETTER |REGIONAL INDICATOR SYMBOL |TURNED )*"
-    r"(?:LATIN )?(?:(?P<case>CAPITAL|SMALL|LETTER SMALL CAPITAL) )?LETTER (?P<letter>[A-Z])(?: WITH .*)?|LATIN LETTER SMALL CAPITAL (?P<small>[A-Z])|SYMBOL LETTER (?P<flag>[A-Z])"
-)
-_DIGIT = re.compile(r"(?:DINGBAT )?(?:NEGATIVE |DOUBLE )?(?:CIRCLED )?(?:SANS-SERIF )?DIGIT (?P<n>ZERO|ONE|TWO|THREE|FOUR|FIVE|SIX|SEVEN|EIGHT|NINE)(?: FULL STOP)?")
-_NUMBERS = ("ZERO", "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE")
-
-
-def _by_rule(c: str, base: dict[str, str]) -> str | None:
-    plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).strip("().,")
-    if len(plain) == 1 and plain != c:
-        if plain.isascii() and plain.isalnum():
-            return plain
-        if plain in base:
-            return base[plain]
-    name = unicodedata.name(c, "")
-    if m := _NAME.fullmatch(name):
-        letter = m["letter"] or m["small"] or m["flag"]
-        return letter.lower() if m["case"] == "SMALL" else letter
-    if m := _DIGIT.fullmatch(name):
-        return str(_NUMBERS.index(m["n"]))
-    return None
+from pathlib import Path
 
 
 @functools.cache
 def confusables() -> tuple[tuple[str, str], ...]:
     """Ordered (target, sources) pairs."""
-    base = {s: t for t, sources in LOOK_ALIKES.items() for s in sources}
-    found = dict(base)
-    ranges = [(0xA1, 0x590), (0x1AB0, 0x2C00), (0x2C60, 0x2E00), (0xA640, 0xA800), (0xAB30, 0xAC00), (0xFF00, 0xFFEF), (0x1D400, 0x1D800), (0x1F100, 0x1F200)]
-    for low, high in ranges:
-        for c in map(chr, range(low, high)):
-            if c not in found and (t := _by_rule(c, base)):
-                found[c] = t
-    by_target: dict[str, list[str]] = {}
-    for source, target in found.items():
-        by_target.setdefault(target, []).append(source)
-    return tuple((t, "".join(s)) for t, s in sorted(by_target.items()))
+    text = Path(__file__).with_suffix(".txt").read_text(encoding="utf-8")
+    # split at line feeds only, as some sources are line breaks to splitlines()
+    lines = [line for line in text.split("\n") if line[1:2] == "\t"]
+    return tuple((line[0], line[2:]) for line in lines)

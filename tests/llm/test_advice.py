@@ -46,3 +46,16 @@ def test_groups_that_fit_a_shard_stay_whole(spark):
 
 def test_groups_find_a_shard_however_many_rows_are_linked(spark):
     assert _share_of_whole_groups(spark, [2] * 2000, 8) > 0.99
+
+
+def test_confusables_are_the_whole_table():
+    import string
+
+    from palisade.functions.confusables import confusables
+
+    table = confusables()
+    sources = "".join(s for _, s in table)
+    assert sorted(t for t, _ in table) == sorted(" " + string.digits + string.ascii_letters) and len(table) == 63
+    assert len(sources) == len(set(sources)) == 2844
+    assert [t for t, _ in table][:4] == [" ", "0", "1", "2"]
+    assert {"Ꮋ", "ꓬ", "ᒿ"} <= set(sources)
