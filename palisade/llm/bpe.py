@@ -18,11 +18,11 @@ import mmap
 import os
 import re
 import struct
-import tempfile
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -32,16 +32,52 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, shared_file, slices
 
 END = "</w>"
 _ID = 24
-_KEPT = 300_000
+_KEPT = 60_000
+_COUNTED = 100_000
 #: Unicode white space, as a class; Python's own also takes the separators U+001C to U+001F.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
 _SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 
+# --- fixed values: where the character data of the tokenizer library and of Python differ --------------------------
+#: Letters and numbers newer than the library's (first and last code points).
+_NEW_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2),
+    (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191),
+    (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF),
+    (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+#: Marks newer than the library's data for composition, to which they are plain characters, and one new composition.
+_NEW_MARKS = (
+    (0x7FD, 0x7FD), (0x898, 0x89F), (0x8CA, 0x8D3), (0x9FE, 0x9FE), (0xC3C, 0xC3C), (0xD3B, 0xD3C), (0xEBA, 0xEBA), (0x1715, 0x1715), (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA),
+    (0xA82C, 0xA82C), (0x10D24, 0x10D27), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85), (0x11070, 0x11070), (0x1133B, 0x1133B),
+    (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x11938, 0x11938), (0x1193D, 0x1193E), (0x11943, 0x11943), (0x119E0, 0x119E0), (0x11A34, 0x11A34),
+    (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45), (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F),
+    (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+#: Capitals newer than Python's data: first, last, and the small letter of the first.
+_NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5),
+    (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
+
+def _class(ranges) -> str:
+    return "".join(f"{chr(r[0])}-{chr(r[1])}" for r in ranges)
+
+
+_ODD = re.compile(f"[{_class((*_NEW_LETTERS, *_NEW_MARKS, *_NEW_CAPITALS))}]")
+_ODD_MARK = re.compile(f"([{_class(_NEW_MARKS)}])")
+_SMALL = {a + k: small + k for a, b, small in _NEW_CAPITALS for k in range(b - a + 1)}
+_SPLIT_ODD = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_class(_NEW_LETTERS)}]]+|[\p{{N}}--[{_class(_NEW_LETTERS)}]]|(?:[^{_BLANK}\p{{L}}\p{{N}}]|[{_class(_NEW_LETTERS)}])+")
+
 
 @functools.cache
 def byte_characters() -> list[str]:
@@ -59,41 +95,35 @@ def normalized(text: str) -> str:
 
 
 def pretokens(text: str) -> list[str]:
+    """The words of a text without characters newer than the library's data."""
     text = normalized(text)
     return (_SPLIT_ASCII if text.isascii() else _SPLIT).findall(text)
 
 
-class Vocabulary:
-    """Ids, merge ranks and special tokens of a tokenizer file."""
+def exact_pretokens(text: str) -> list[str]:
+    """The words of any text."""
+    if text.isascii() or not _ODD.search(text):
+        return pretokens(text)
+    pieces = (unicodedata.normalize("NFC", x) for x in _ODD_MARK.split(text))
+    return _SPLIT_ODD.findall("".join(pieces).replace("Σ", "σ").lower().translate(_SMALL))
 
-    def __init__(self, path: str):
-        whole = json.loads(Path(path).read_text())
-        model = whole["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.special: dict[str, int] = {t["content"]: t["id"] for t in whole["added_tokens"]}
-        pairs = (p if isinstance(p, list) else p.split(" ") for p in model["merges"])
-        self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
-        self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
-        # the same merges over ids: a pair packed into one number has a rank, a rank the id of what it makes
-        self.packed = {self.ids[a] << _ID | self.ids[b]: r for (a, b), r in self.ranks.items()}
-        self.made = [self.ids[a + b] for a, b in self.ranks]
-        self.bytes = [self.ids[c] for c in byte_characters()], [self.ids[c + END] for c in byte_characters()]
-        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
-    def merge(self, word: str) -> list[str]:
+class Merges:
+    """Byte-pair merges over ids: a pair packed into one number has a rank, a rank the id of what it makes."""
+
+    def __init__(self, pairs: Iterable[int], made: list[int], units: list[int]):
+        """``units`` are the ids of the 256 bytes inside a word, then of the 256 bytes at its end."""
+        self.rank, self.made, self.inner, self.last = dict(zip(pairs, range(len(made)), strict=True)), made, units[:256], units[256:]
+
+    def encode(self, word: bytes) -> list[int]:
         """Exact merges of one word: the pair with the lowest rank first, leftmost among equals."""
-        table = byte_characters()
-        parts = [table[b] for b in word.encode()]
-        if not parts:
-            return []
-        parts[-1] += END
+        parts = [self.inner[b] for b in word]
+        if parts:
+            parts[-1] = self.last[word[-1]]
         return self._merge_long(parts) if len(parts) > 40 else self._merge_short(parts)
 
-    def _merge_short(self, parts: list[str]) -> list[str]:
-        return [self.tokens[i] for i in self._merge_ids([self.ids[p] for p in parts])]
-
-    def _merge_ids(self, parts: list[int]) -> list[int]:
-        get, none = self.packed.get, len(self.made)
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        get, none = self.rank.get, len(self.made)
         found = [get(a << _ID | b, none) for a, b in zip(parts, parts[1:], strict=False)]
         while found and (low := min(found)) < none:
             i = found.index(low)
@@ -105,34 +135,59 @@ class Vocabulary:
                 found[i - 1] = get(parts[i - 1] << _ID | new, none)
         return parts
 
-    def _merge_long(self, parts: list[str]) -> list[str]:
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """With a heap and links, so that very long words take n log n."""
-        ranks, n = self.ranks, len(parts)
+        get, n = self.rank.get, len(parts)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := ranks.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i, parts[i], parts[i + 1]) for i in range(n - 1) if (r := get(parts[i] << _ID | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            r, i, a, b = heapq.heappop(heap)
             j = after[i]
             if j < 0 or parts[i] != a or parts[j] != b:
                 continue
-            parts[i], parts[j] = a + b, ""
+            parts[i], parts[j] = self.made[r], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := ranks.get((parts[x], parts[y]))) is not None:
+                if x >= 0 and y >= 0 and (r := get(parts[x] << _ID | parts[y])) is not None:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
-        return [p for p in parts if p]
+        return [p for p in parts if p >= 0]
+
+
+class Vocabulary:
+    """Ids, merges and special tokens of a tokenizer file."""
+
+    def __init__(self, path: str):
+        whole = json.loads(Path(path).read_text())
+        model = whole["model"]
+        self.ids: dict[str, int] = model["vocab"]
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.tokens = {i: t for t, i in (*self.ids.items(), *self.special.items())}
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
+        self.pairs = [self.ids[a] << _ID | self.ids[b] for a, b in pairs]
+        self.made = [self.ids[a + b] for a, b in pairs]
+        self.units = [self.ids[c + end] for end in ("", END) for c in byte_characters()]
+        self.merges = Merges(self.pairs, self.made, self.units)
 
     def encode(self, word: str) -> list[int]:
-        raw = word.encode()
-        if not 0 < len(raw) <= 40:
-            return [self.ids[p] for p in self.merge(word)]
-        inner, last = self.bytes
-        parts = [inner[b] for b in raw]
-        parts[-1] = last[raw[-1]]
-        return self._merge_ids(parts)
+        return self.merges.encode(word.encode())
+
+
+def _packed(*parts: bytes) -> bytes:
+    """Parts one after another, each at a multiple of eight bytes, behind their lengths."""
+    return b"".join([struct.pack("<Q", len(parts)), struct.pack(f"<{len(parts)}Q", *map(len, parts)), *(p + bytes(-len(p) % 8) for p in parts)])
+
+
+def _unpacked(data) -> list[memoryview]:
+    view = memoryview(data)
+    (n,) = struct.unpack_from("<Q", view)
+    parts, at = [], 8 + 8 * n
+    for size in struct.unpack_from(f"<{n}Q", view, 8):
+        parts.append(view[at : at + size])
+        at += size + -size % 8
+    return parts
 
 
 def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
@@ -177,27 +232,17 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
     starts = np.concatenate(([0], np.cumsum([len(entries[w]) for w in words]))).astype(np.uint32)
     ids = np.array([i for w in words for i in entries[w]], np.uint32)
     finals = bytes(f for f, _ in states)
-    arrays = [np.array(x, np.uint32).tobytes() for x in (first, targets, skips)] + [starts.tobytes(), ids.tobytes(), bytes(labels), finals]
-    return struct.pack("<8I", root, *map(len, arrays)) + b"".join(arrays)
+    return _packed(*(np.array(x, np.uint32).tobytes() for x in ([root], first, targets, skips)), starts.tobytes(), ids.tobytes(), bytes(labels), finals)
 
 
 class Lexicon:
     """A compiled lexicon, read in place from a buffer or a mapped file."""
 
     def __init__(self, data):
-        view = memoryview(data)
-        self.root, *sizes = struct.unpack_from("<8I", view)
-        parts, at = [], 32
-        for n in sizes:
-            parts.append(view[at : at + n])
-            at += n
-        self.first, self.targets, self.skips, self.starts, self.ids = (p.cast("I") for p in parts[:5])
-        self.labels, self.finals, self.data = bytes(parts[5]), parts[6], data
-
-    @classmethod
-    def open(cls, path: str) -> Lexicon:
-        with open(path, "rb") as f:
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        root, *tables, labels, self.finals = _unpacked(data)
+        (self.root,) = root.cast("I")
+        self.first, self.targets, self.skips, self.starts, self.ids = (t.cast("I") for t in tables)
+        self.labels = bytes(labels)
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None if the lexicon lacks it."""
@@ -213,31 +258,29 @@ class Lexicon:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
+class _Odd(Exception):
+    """A word has characters that the library and Python treat apart."""
+
+
 class _Pieces(dict):
-    """Word to (ids, tokens), each as joined bytes. Once large, it is set aside and words come back from there or are found anew."""
+    """Word to ids; forgets all once it has grown large, as the lexicon holds the frequent ones."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
+    def __init__(self, merges: Merges, lexicon: Lexicon):
         super().__init__()
-        self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.aside: dict[str, tuple[bytes, bytes]] = {}
-        self.written = {i: (b"%d" % i, t.encode()) for i, t in vocabulary.tokens.items()}
+        self.merges, self.lexicon = merges, lexicon
+
+    def find(self, word: str) -> tuple[int, ...]:
+        raw = word.encode()
+        ids = self.lexicon.find(raw)
+        return tuple(self.merges.encode(raw) if ids is None else ids)
 
-    def __missing__(self, word: str) -> tuple[bytes, bytes]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if not word.isascii() and _ODD.search(word):
+            raise _Odd
         if len(self) >= _KEPT:
-            self.aside = dict(self)
             self.clear()
-        piece = self.aside.get(word)
-        if piece is None:
-            ids = self.lexicon.find(word.encode())
-            if ids is None:
-                ids = self.vocabulary.encode(word)
-            if len(ids) == 1:
-                piece = self.written[ids[0]]
-            else:
-                numbers, tokens = zip(*map(self.written.__getitem__, ids), strict=True)
-                piece = b" ".join(numbers), b" ".join(tokens)
-        self[word] = piece
-        return piece
+        self[word] = ids = self.find(word)
+        return ids
 
 
 @contextlib.contextmanager
@@ -253,36 +296,49 @@ def _uncollected() -> Iterator[None]:
 
 
 class Codec:
-    """Encodes and decodes texts with a vocabulary and a lexicon."""
+    """Encodes and decodes texts with the tables of one compiled file."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon):
-        self.vocabulary, self.pieces = vocabulary, _Pieces(vocabulary, lexicon)
+    def __init__(self, data):
+        lexicon, pairs, made, units, ends, names, special = _unpacked(data)
+        self.pieces = _Pieces(Merges(pairs.cast("Q"), made.cast("I").tolist(), units.cast("I").tolist()), Lexicon(lexicon))
+        ends = [0, *ends.cast("I")]
+        #: the token of each id, None where there is none, and the id in decimal
+        self.names = [bytes(names[a:b]) or None for a, b in zip(ends, ends[1:], strict=False)]
+        self.numbers = [b"%d" % i for i in range(len(self.names))]
+        self.special: dict[str, int] = json.loads(bytes(special))
+        self.cut = re.compile("|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
 
-    def _words(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
-        cut, at = self.vocabulary.cut, 0
-        for m in cut.finditer(text) if cut and "<" in text else ():
-            yield list(map(self.pieces.__getitem__, pretokens(text[at : m.start()])))
-            yield [(b"%d" % self.vocabulary.special[m[0]], m[0].encode())]
-            at = m.end()
-        yield list(map(self.pieces.__getitem__, pretokens(text[at:])))
-
-    def digest(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, the ids and the decoded text, each joined by single spaces."""
-        ids, tokens = [], []
-        for some in self._words(text):
-            if some:
-                numbers, names = zip(*some, strict=True)
-                ids.append(b" ".join(numbers))
-                tokens.append(b" ".join(names))
-        joined = b" ".join(ids)
-        return joined.count(b" ") + bool(joined), joined, b" ".join(tokens)
+    @classmethod
+    def open(cls, path: str) -> Codec:
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def _plain(self, text: str) -> list[int]:
+        try:
+            return list(chain.from_iterable(map(self.pieces.__getitem__, pretokens(text))))
+        except _Odd:
+            return list(chain.from_iterable(map(self.pieces.find, exact_pretokens(text))))
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for i in self.digest(text)[1].split()]
+        if not (self.cut and "<" in text):
+            return self._plain(text)
+        ids, at = [], 0
+        for m in self.cut.finditer(text):
+            ids += self._plain(text[at : m.start()])
+            ids.append(self.special[m[0]])
+            at = m.end()
+        return ids + self._plain(text[at:])
+
+    def written(self, ids: Iterable[int]) -> bytes:
+        """The ids in decimal, joined by single spaces."""
+        return b" ".join(map(self.numbers.__getitem__, ids))
 
-    def decode(self, ids: Iterable[int]) -> str:
-        """The ids' tokens joined by spaces, as for a tokenizer without a decoder; unknown ids are left out."""
-        return " ".join(t for i in ids if (t := self.vocabulary.tokens.get(i)) is not None)
+    def decode(self, ids: list[int]) -> bytes:
+        """The ids' tokens joined by single spaces, as for a tokenizer without a decoder; unknown ids are left out."""
+        try:
+            return b" ".join(map(self.names.__getitem__, ids))
+        except (IndexError, TypeError):
+            return b" ".join(n for i in ids if 0 <= i < len(self.names) and (n := self.names[i]) is not None)
 
 
 def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
@@ -300,13 +356,12 @@ def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
             counts.clear()
             return out
 
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
+        for whole in batches:
+            for batch in slices(whole, limit=1 << 20):
                 with _uncollected():
-                    for text in texts[at : at + 500]:
+                    for text in batch.column("text").to_pylist():
                         counts.update(pretokens(text or ""))
-                if len(counts) > 500_000:
+                if len(counts) > _COUNTED:
                     yield flush()
         yield flush()
 
@@ -324,36 +379,36 @@ def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
 
 
 def compiled(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
-    """A lexicon of the words and of all whole words of the vocabulary."""
+    """The file of a codec: a lexicon of the words and of all whole words of the vocabulary, merges and tokens."""
     back = {c: b for b, c in enumerate(byte_characters())}
     entries = {}
     for token, i in vocabulary.ids.items():
         if token.endswith(END) and len(token) > len(END):
             raw = bytes(back[c] for c in token[: -len(END)])
-            try:
-                if vocabulary.encode(raw.decode()) == [i]:
-                    entries[raw] = [i]
-            except UnicodeDecodeError:
-                continue
+            if vocabulary.merges.encode(raw) == [i]:
+                entries[raw] = [i]
     entries |= {w.encode(): vocabulary.encode(w) for w in words}
-    return compile_lexicon(entries)
+    names = [vocabulary.tokens.get(i, "").encode() for i in range(max(vocabulary.tokens) + 1)]
+    tables = [(vocabulary.pairs, np.uint64), (vocabulary.made, np.uint32), (vocabulary.units, np.uint32), (np.cumsum([len(n) for n in names]), np.uint32)]
+    return _packed(compile_lexicon(entries), *(np.array(x).astype(kind).tobytes() for x, kind in tables), b"".join(names), json.dumps(vocabulary.special).encode())
 
 
-@functools.lru_cache(maxsize=1)  # every run has a lexicon of its own, so an earlier one's words are of no use
-def _codec(vocabulary: str, lexicon: str) -> Codec:
-    return Codec(Vocabulary(vocabulary), Lexicon.open(lexicon))
+_opened: dict[str, Codec] = {}
 
 
-def distribute(docs: DataFrame, vocabulary: str, k: int = 50_000) -> tuple[str, str]:
-    """Compiles a lexicon of the corpus and hands it and the vocabulary to all executors; their names there."""
-    context = docs.sparkSession.sparkContext
-    folder = Path(tempfile.mkdtemp(prefix="palisade-lexicon-"))  # the driver's; Spark copies the files to executors
-    names = f"lexicon-{uuid.uuid4().hex}.bin", f"vocabulary-{uuid.uuid4().hex}.json"
-    (folder / names[0]).write_bytes(compiled(Vocabulary(vocabulary), frequent_words(docs, k)))
-    (folder / names[1]).write_bytes(Path(vocabulary).read_bytes())
-    for name in names:
-        context.addFile(str(folder / name))
-    return names
+def _codec(name: str) -> Codec:
+    """The codec of a distributed file. A worker keeps one: every run has a file of its own, so an earlier one's goes first."""
+    if name not in _opened:
+        _opened.clear()
+        _opened[name] = Codec.open(SparkFiles.get(name))
+    return _opened[name]
+
+
+def distribute(docs: DataFrame, vocabulary: str, k: int = 50_000) -> str:
+    """Compiles a codec for the corpus, writes it to the shared folder and hands it to all executors; its name there."""
+    spark, name = docs.sparkSession, f"codec-{uuid.uuid4().hex}.bin"
+    spark.sparkContext.addFile(shared_file(spark, name, compiled(Vocabulary(vocabulary), frequent_words(docs, k))))
+    return name
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataFrame:
@@ -362,40 +417,37 @@ def encode_documents(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataF
     Null and empty texts have no ids. Strings of special tokens in a text become their ids. Repeated rows stay, other
     columns are ignored.
     """
-    lexicon, tokens = distribute(docs, vocabulary, k)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(SparkFiles.get(tokens), SparkFiles.get(lexicon))
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for at in range(0, len(texts), 500):
-                with _uncollected():
-                    n, ids, decoded = zip(*(codec.digest(t or "") for t in texts[at : at + 500]), strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, 500), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["doc_id", "n_tokens", "ids", "decoded"])
-
-    return _few(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded binary")
+    return _encoded(docs, vocabulary, k, "ids binary, decoded binary", lambda ids, decoded: (ids, decoded))
 
 
 def _few(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def token_digests(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): as encode_documents, digested before they leave the worker."""
-    lexicon, tokens = distribute(docs, vocabulary, k)
+def _encoded(docs: DataFrame, vocabulary: str, k: int, schema: str, finish) -> DataFrame:
+    """doc_id, n_tokens and what ``finish`` makes of the written ids and of the text decoded from the ids."""
+    name, kinds = distribute(docs, vocabulary, k), [pa.binary() if "binary" in c else pa.string() for c in schema.split(", ")]
+    names = ["doc_id", "n_tokens", *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(SparkFiles.get(tokens), SparkFiles.get(lexicon))
-        for batch in batches:
-            rows = []
-            with _uncollected():
-                for text in batch.column("text").to_pylist():
-                    n, ids, decoded = codec.digest(text or "")
-                    rows.append((n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _few(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        codec = _codec(name)
+        for whole in batches:
+            for batch in slices(whole, limit=1 << 20):
+                counts, rows = [], []
+                with _uncollected():
+                    for text in batch.column("text").to_pylist():
+                        ids = codec.encode(text or "")
+                        counts.append(len(ids))
+                        rows.append(finish(codec.written(ids), codec.decode(ids)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
+
+    return _few(docs).mapInArrow(run, f"doc_id long, n_tokens long, {schema}")
+
+
+def token_digests(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): as encode_documents, digested before they leave the worker."""
+    digests = lambda ids, decoded: (hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
+    return _encoded(docs, vocabulary, k, "ids_sha256 string, decoded_sha256 string", digests)
 
 
 def default_vocabulary() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,25 +30,66 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+@contextlib.contextmanager
+def configured(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the queries that are planned inside; what was set before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: What a written table needs no more is its shuffle files: they go at the end of the write, not when the driver collects garbage.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
+def _file(spark: SparkSession, path: str):
+    """The path as Hadoop's, and the file system that holds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` to the shared folder and reads it back.
 
-    The files are on storage that outlives any executor, so what is built on them need not recompute.
+    The files are on storage that outlives any executor, so what is built on them need not recompute. They go when
+    ``release`` is called or else when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    with configured(spark, CLEAN):
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    place, files = _file(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
 
 
+def shared_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes bytes, of a size that the driver holds, to a new file in the shared folder; its path."""
+    path = f"{shared_dir(spark)}/{name}"
+    place, files = _file(spark, path)
+    out = files.create(place, True)
+    out.write(data)
+    out.close()
+    files.deleteOnExit(place)
+    return path
+
+
 def release(df: DataFrame) -> None:
     """Deletes the files behind a materialized frame that nothing will read again."""
     spark = df.sparkSession
     root = shared_dir(spark)
     for file in {f[: f.index("/", len(root) + 1)] for f in df.inputFiles() if f.startswith(root.replace("file:///", "file:/")) or f.startswith(root)}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        place, files = _file(spark, file)
+        files.delete(place, True)
 
 
 def binary_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -137,12 +137,10 @@ def test_lexicon_and_long_words():
     entries = {w.encode(): [k, k + 1][: 1 + k % 2] for k, w in enumerate(["a", "ab", "abc", "bc", "xbc", "zebra"])}
     lexicon = bpe.Lexicon(bpe.compile_lexicon(entries))
     assert all(lexicon.find(w) == ids for w, ids in entries.items()) and lexicon.find(b"abcd") is None and lexicon.find(b"") is None
-    v = bpe.Vocabulary(bpe.default_vocabulary())
-    r, table = random.Random(4), bpe.byte_characters()
+    v = bpe.Vocabulary(bpe.default_vocabulary()).merges
+    r = random.Random(4)
     for n in (1, 41, 500):
-        word = "".join(r.choice("abcdethin") for _ in range(n))
-        parts = [table[b] for b in word.encode()]
-        parts[-1] += bpe.END
+        parts = [v.inner[b] for b in "".join(r.choice("abcdethin") for _ in range(n)).encode()]
         assert v._merge_long(list(parts)) == v._merge_short(list(parts))
 
 
