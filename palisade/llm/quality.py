@@ -7,12 +7,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize
+from .common import binary_texts, slices
 from .rules import COMMON, MARKS
 
 _FREQUENT = frozenset(w.encode() for w in COMMON)
@@ -21,6 +20,8 @@ _SORT = np.full(256, len(_SORTS), np.intp)
 for _k, _chars in enumerate(_SORTS):
     _SORT[list(_chars)] = _k
 N_FEATURES = 16
+#: About so many labelled rows at most are learnt from; the moments of 16 statistics need far fewer.
+SAMPLE = 20_000
 
 
 def _logit(share: float) -> float:
@@ -76,39 +77,38 @@ def _model(n: np.ndarray, sums: np.ndarray, outer: np.ndarray, pooled: float, ri
     return QualityModel(means, np.linalg.inv(factors), np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(axis=1), log_prior, temperature)
 
 
-def statistics_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) of every row, x an array of statistics; null texts count as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [statistics(t) for t in binary_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+def held_out() -> Column:
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
+def labelled(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, y) to learn from: no rows that are held out, of documents with several labels the lowest.
 
-def held_out() -> Column:
-    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
+    Of more than ``most`` those with the lowest hashes are taken, about ``most``, so that what is broadcast is bounded.
+    """
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y in (0, 1) and doc_id is not null")
+    known = known.where(~held_out()).groupBy("doc_id").agg(F.min("y").alias("y"))
+    n = known.count()
+    return known if n <= most else known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def fit(stats: DataFrame, labels: DataFrame, pooled: float = 0.1, ridge: float = 0.05, temperature: float = 2.0) -> QualityModel:
-    """Fits on all labelled rows of ``stats`` whose crc32(doc_id) mod 5 is not 0.
+def fit(docs: DataFrame, labels: DataFrame, pooled: float = 0.1, ridge: float = 0.05, temperature: float = 2.0, most: int = SAMPLE) -> QualityModel:
+    """Fits on the rows of ``docs`` (doc_id, text) that ``labelled`` names; null texts count as empty.
 
-    ``labels`` (doc_id, quality) may miss or repeat documents (the lowest label counts); null labels are left out. The
-    rows are reduced to sums on the executors; only moments, a fixed number of values, reach the driver.
+    ``labels`` (doc_id, quality) may miss or repeat documents; null labels are left out. Statistics are computed of the
+    labelled rows only and reduced to sums on the executors; moments, a fixed number of values, reach the driver.
     """
-    few = labels.where("quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("quality").cast("int")).alias("y"))
-    rows = stats.where(~held_out()).join(few, "doc_id").select("x", "y")
+    rows = _few(docs).join(F.broadcast(labelled(labels, most)), "doc_id").select("text", "y")
     size = 1 + N_FEATURES + N_FEATURES**2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, size))
-        for batch in batches:
-            x = np.array(batch.column("x").to_pylist(), np.float64).reshape(-1, N_FEATURES)
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            for k in (0, 1):
-                own = x[y == k]
-                total[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
+        for whole in batches:
+            for batch in slices(whole):
+                x, y = _matrix(binary_texts(batch)), batch.column("y").to_numpy(zero_copy_only=False)
+                for k in (0, 1):
+                    own = x[y == k]
+                    total[k] += np.concatenate(([len(own)], own.sum(axis=0), (own.T @ own).ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], size), pa.int32()), pa.array(np.tile(np.arange(size), 2), pa.int32()), pa.array(total.ravel())], ["y", "i", "v"])
 
     total = np.zeros((2, size))
@@ -118,23 +118,21 @@ def fit(stats: DataFrame, labels: DataFrame, pooled: float = 0.1, ridge: float =
     return _model(n, sums, outer, pooled, ridge, temperature)
 
 
-def score_statistics(stats: DataFrame, model: QualityModel) -> DataFrame:
-    """Adds ``score`` to (doc_id, x)."""
+def _few(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(x.to_numpy()).reshape(-1, N_FEATURES)) if len(x) else [])
 
-    return stats.withColumn("score", score("x"))
+def _matrix(texts: list[bytes]) -> np.ndarray:
+    return np.array([statistics(t) for t in texts], np.float64).reshape(-1, N_FEATURES)
 
 
 def text_score(model: QualityModel, text: str = "text") -> Column:
-    """The score of a text column, without a join; null texts count as empty."""
+    """The score of a text column; null texts count as empty."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        rows = [statistics((t or "").encode()) for t in texts]
-        return pd.Series(model.score(np.array(rows, np.float64).reshape(-1, N_FEATURES)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(model.score(_matrix(binary_texts(b))) for b in slices(whole))]))
 
     return score(F.col(text).cast("string"))
 
@@ -145,15 +143,13 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
     Null and empty texts get a score as well. Without at least two labelled rows of either class every score is the
     share of good labels. A null doc_id is never held out and never labelled.
     """
-    stats = materialize(statistics_table(docs), "statistics")
-    scored = score_statistics(stats, fit(stats, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = _few(docs).select("doc_id", held_out().alias("held_out"), text_score(fit(docs, labels)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches ``threshold``."""
-    model = fit(materialize(statistics_table(docs), "statistics"), labels)
-    return docs.where(text_score(model) >= threshold)
+    return docs.where(text_score(fit(docs, labels)) >= threshold)
 
 
 def labels_table(spark: SparkSession, sf_dir: str) -> DataFrame:
