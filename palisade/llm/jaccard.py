@@ -1,9 +1,12 @@
-"""Near copies by exact Jaccard similarity of word shingles: a set-similarity join with prefix, length and positional filters.
+"""The part of SimHash near-dedup that holds links to a similarity of shingle sets, and finds those that bits miss.
 
-Shingles are hashed as for the fingerprints of ``simhash.py``. In any one order of all shingles, two sets that are
-similar enough share one among the first few of each, so only those few are grouped by shingle. The order is by hash,
-with shingles that many texts of a sample have put last, so that common passages rarely bring texts together. Every candidate is
-verified on the whole sets, so no similar pair is missed and none is invented (but for collisions of 64-bit hashes).
+Fingerprints within three bits are linked as in ``simhash.py``, and each such link is verified on the texts' whole
+sets of shingles. But texts of similarity 0.8 differ by up to 17 of 64 bits, which no anchor radius covers, so an
+exact join with prefix, length and positional filters then adds the links between what is left apart: in any one order
+of all shingles, two sets that are similar enough share one among the first few of each, so only those few are grouped
+by shingle. The order is by hash, with shingles that many texts of a sample have put last, so that common passages
+rarely bring texts together. Every candidate is verified, so no similar pair is missed and none is invented (but for
+collisions of 64-bit hashes).
 
 Large groups are first compared with one member each; what is linked by that is not compared again among itself.
 """
@@ -20,23 +23,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import binary_texts, materialize, release, slices
-from .simhash import SEED, _mark, connected_components, first_rows
+from .simhash import _mark, connected_components, fingerprint_of, first_rows, links, shingle_hashes
 
 HOT, SHARE, MOST_HOT, TURNS, PAIRS, HELD = 2, 8, 200_000, 6, 20, 2_000_000
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
-    """The sorted hashes of the different shingles of a UTF-8 text: all words as one if there are ``width`` at most."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    line = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(line, SEED)], np.uint64)
-    gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts = np.concatenate(([0], gaps + 1))[: len(words) - width + 1].tolist()
-    ends = np.concatenate((gaps[width - 1 :], [len(line)])).tolist()
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends, strict=True)), np.uint64, len(starts)))
+    """The sorted hashes of the different shingles of a UTF-8 text."""
+    return np.unique(shingle_hashes(text, width))
 
 
 def _set_id(shingles: np.ndarray) -> int:
@@ -45,9 +39,15 @@ def _set_id(shingles: np.ndarray) -> int:
 
 def _identify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.array([_set_id(shingle_set(t, width)) for t in binary_texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(ids)], ["doc_id", "mark", "set_id"])
+        for whole in batches:
+            for batch in slices(whole):
+                ids, prints = [], []
+                for text in binary_texts(batch):
+                    hashes = shingle_hashes(text, width)
+                    ids.append(_set_id(np.unique(hashes)))
+                    prints.append(fingerprint_of(hashes))
+                both = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *both], ["doc_id", "mark", "set_id", "fp"])
 
     return run
 
@@ -82,22 +82,9 @@ def _prefixes(width: int, num: int, den: int, late: np.ndarray):
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
-                sets = [shingle_set(t, width).tobytes() for t in binary_texts(batch)]
-                yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sets, pa.binary())], ["set_id", "shingles"])
-
-    return run
-
-
-def _verify(num: int, den: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                good.append(int((a[at] == b).sum()) * (num + den) >= num * (len(a) + len(b)))
-            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
+            for batch in slices(whole, limit=4 << 20):
+                sets = [shingle_set(t, width).view(np.int64) for t in binary_texts(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column("set_id"), pa.array(sets, pa.list_(pa.int64()))], ["set_id", "shingles"])
 
     return run
 
@@ -112,7 +99,7 @@ def _meets(one: str, two: str, num: int, den: int) -> Column:
 def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den: int, hot: int = HOT, share: int = SHARE, pairs: int = PAIRS) -> DataFrame:
     """(u, v): links between different sets of similarity num / den or more, enough to join all that are similar.
 
-    ``prints`` (doc_id, mark, set_id) is of ``docs`` (mark, text).
+    ``prints`` (doc_id, mark, set_id, fp) is of ``docs`` (mark, text).
     """
     schema = "shingle long, set_id long, n int, at int"
     texts = docs.select("mark", "text")
@@ -129,9 +116,11 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
         found = materialize(found, "candidates")
         one = materialize(found.select(F.explode(F.array("u", "v")).alias("set_id")).distinct().join(marks, "set_id"), "candidate-marks")
         few = F.broadcast(one) if one.count() <= HELD else one
-        sets = materialize(texts.join(few, "mark").dropDuplicates(["mark"]).mapInArrow(_sets(width), "set_id long, shingles binary"), "shingle-sets")
+        sets = materialize(texts.join(few, "mark").dropDuplicates(["mark"]).mapInArrow(_sets(width), "set_id long, shingles array<long>"), "shingle-sets")
         a, b = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("b"))
-        good = materialize(found.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(num, den), "u long, v long"), "similar")
+        # whole sets are compared row by row in the JVM, so that no batch of them has to fit a worker
+        shared = F.size(F.array_intersect("a", "b")).cast("long") * (num + den)
+        good = materialize(found.join(a, "u").join(b, "v").where(shared >= (F.size("a") + F.size("b")).cast("long") * num).select("u", "v"), "similar")
         for done in (found, one, sets):
             release(done)
         return good
@@ -140,23 +129,36 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
         near = joined.where((F.col("x.root") != F.col("y.root")) & _meets("x", "y", num, den))
         return near.select(F.least("x.set_id", "y.set_id").alias("u"), F.greatest("x.set_id", "y.set_id").alias("v")).distinct()
 
-    rooted, linked = rows.withColumn("root", F.col("set_id")), None
+    def rooted_by(found: DataFrame) -> DataFrame:
+        roots = connected_components(found)
+        return materialize(rows.join(roots, rows.set_id == roots.node, "left").select(*rows.columns, F.coalesce("root", "set_id").alias("root")), "rooted")
+
+    # what the fingerprints bring together: sets of one fingerprint with its least set, and these along links of bits
+    sets = prints.select("fp", "set_id").distinct()
+    first = sets.groupBy("fp").agg(F.min("set_id").alias("first"))
+    bits = links(first.select("fp")).join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    same = sets.join(first, "fp").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    close = bits.select("a", "b").unionByName(same).where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    linked = verified(close)
+    rooted = rooted_by(linked)
     for turn in range(TURNS + 1):
         # shingles whose sets are all in one component have nothing left to say
         size = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("set_id", "n", "at", "root"), F.xxhash64("set_id", F.lit(turn))).alias("lead"))
         size = materialize(size.where("low < high").select("shingle", "k", "lead"), "shingle-groups")
         work = size.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
-        if turn and (work <= pairs * total or turn == TURNS):
+        if work <= pairs * total or turn == TURNS:
             break
         leads = size.select("shingle", "lead.*")
         new = verified(pairs_of(rooted.alias("x").join(leads.alias("y"), F.col("x.shingle") == F.col("y.shingle"))))
         release(size)
-        linked = new if linked is None else linked.unionByName(new)
-        roots = connected_components(linked)
-        rooted = materialize(rows.join(roots, rows.set_id == roots.node, "left").select(*rows.columns, F.coalesce("root", "set_id").alias("root")), "rooted")
+        linked = linked.unionByName(new)
+        release(rooted)
+        rooted = rooted_by(linked)
     open_ = rooted.join(size.select("shingle"), "shingle", "left_semi")
     on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id"))
     rest = verified(pairs_of(open_.alias("x").join(open_.alias("y"), on)))
+    for done in (rows, rooted, size):
+        release(done)
     return linked.unionByName(rest)
 
 
@@ -167,7 +169,7 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, num: int = 4, den: int
     more. Null and empty texts are alike. Null and repeated doc_ids count as in ``simhash.deduplicate``.
     """
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    prints = materialize(few.mapInArrow(_identify(width), "doc_id long, mark long, set_id long"), "set-ids")
+    prints = materialize(few.mapInArrow(_identify(width), "doc_id long, mark long, set_id long, fp long"), "set-ids")
     roots = connected_components(similar_links(few, prints, width, num, den, **limits))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     reps = prints.groupBy("set_id").agg(F.min(order).alias("first"))

@@ -19,11 +19,12 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "iban", "ssn")
 LONGEST = 24
@@ -321,15 +322,15 @@ def scan_pii(docs: DataFrame, model: SemiCRF | None = None) -> DataFrame:
     model = model or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                base, every = find_spans(text or "", model)
-                kinds = [k for k, _, _ in base]
-                rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = (*[pa.int64()] * 4, pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        types = (*[pa.int64()] * 4, pa.string(), pa.string())
+        for whole in batches:
+            for batch in slices(whole):
+                rows = []
+                for text in batch.column("text").to_pylist():
+                    base, every = find_spans(text or "", model)
+                    kinds = [k for k, _, _ in base]
+                    rows.append((*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return few.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
@@ -349,9 +350,10 @@ def mask_pii(docs: DataFrame, model: SemiCRF | None = None) -> DataFrame:
     """``docs`` with personal data in ``text`` masked and ``n_chars``, if there, made to fit; null texts stay null."""
     model = model or trained()
 
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else masked(t, model) for t in texts], dtype=object)
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], ["text"])
+        return pa.array([None if t is None else masked(t, model) for b in slices(whole) for t in b.column("text").to_pylist()], pa.string())
 
     out = docs.withColumn("text", mask(F.col("text").cast("string")))
     if "n_chars" in docs.columns:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, materialize, release
+from .common import binary_texts, materialize, release, slices
 
 SEED = 42
 _LANE = (np.arange(8, dtype=np.uint16) * 256)[None, :]
@@ -29,32 +29,40 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 _PIECE = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """The fingerprint of a UTF-8 text; 0 if it has no words."""
+def shingle_hashes(text: bytes, width: int = 3) -> np.ndarray:
+    """The hashes of a UTF-8 text's shingles, repeats included: all words as one if there are ``width`` at most."""
     words = text.lower().split()
-    n = len(words)
-    if not n:
-        return 0
-    if n <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
     line = b" ".join(words)
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(line, SEED)] if words else [], np.uint64)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
-    starts = np.concatenate(([0], gaps + 1))[: n - width + 1]
+    starts = np.concatenate(([0], gaps + 1))[: len(words) - width + 1]
     ends = np.concatenate((gaps[width - 1 :], [len(line)]))
-    digest, counts = xxhash.xxh64_intdigest, np.zeros(2048, np.int64)
-    for at in range(0, len(starts), _PIECE):
-        some = zip(starts[at : at + _PIECE].tolist(), ends[at : at + _PIECE].tolist(), strict=True)
-        hashes = np.array([digest(line[s:e], SEED) for s, e in some], "<u8")
-        counts += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048)
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes; 0 without any."""
+    counts = np.zeros(2048, np.int64)
+    for at in range(0, len(hashes), _PIECE):
+        some = hashes[at : at + _PIECE].astype("<u8")
+        counts += np.bincount((some.view(np.uint8).reshape(-1, 8) + _LANE).ravel(), minlength=2048)
     ones = (counts.reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """The fingerprint of a UTF-8 text; 0 if it has no words."""
+    return fingerprint_of(shingle_hashes(text, width))
 
 
 def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = np.array([fingerprint(t, width) for t in binary_texts(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(prints)], ["doc_id", "mark", "fp"])
+        for whole in batches:
+            for batch in slices(whole):
+                prints = np.array([fingerprint(t, width) for t in binary_texts(batch)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(prints)], ["doc_id", "mark", "fp"])
 
     return run
 
@@ -273,7 +281,7 @@ def first_rows(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, distance: int = 3, width: int = 3) -> DataFrame:
-    """One row of each near-duplicate component, all columns: that with the smallest doc_id.
+    """One row of each component of near fingerprints, all columns: that with the smallest doc_id.
 
     A null doc_id comes last, and of rows that repeat a doc_id within a component the smallest text hash counts. Rows
     that repeat a doc_id with a text that is no near copy are components of their own and stay. Of rows alike in
