@@ -37,16 +37,20 @@ def _words() -> Column:
     return F.coalesce(F.expr(f"regexp_count(text, r'{WORD}')"), F.lit(0)).cast("long")
 
 
+def _identity() -> list[Column]:
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"), F.xxhash64(text).alias("mark")]
+
+
 def mix(docs: DataFrame, seed: int = 7, most: int = 3, cycle: int = 3, cell_rows: int = 2_000_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) of every row of ``docs`` (doc_id, text, source).
+    """(doc_id, source, size, mark, source_size, target, copies) of every row of ``docs`` (doc_id, text, source).
 
     size is the number of words (null text: 0). Sources in code point order, null last, weigh 1, 2, ... ``cycle``,
     repeating. A source without words has target 0. The order within a source, and so the result, depends only on
-    doc_id, size and ``seed``, at any number of rows; rows alike in doc_id and size are interchangeable. Other columns
-    are ignored.
+    doc_id, size, ``seed`` and ``mark``, a hash of the text that tells rows apart which share a doc_id, at any number of
+    rows; rows alike in all of these are interchangeable. Other columns are ignored.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _words().alias("size"))
-    sized = materialize(sized, "sizes")
+    sized = materialize(docs.select(*_identity()), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     weight = (F.pmod(place - 1, F.lit(cycle)) + 1).cast("double")
@@ -57,27 +61,27 @@ def mix(docs: DataFrame, seed: int = 7, most: int = 3, cycle: int = 3, cell_rows
     cells = sized.withColumn("_draw", draw).withColumn("_size", F.floor(F.log2(F.col("size") + 1.0) * 8).cast("int"))
     # lots are ranges of the draw within one size, so cells follow the order of the rows however many there are
     cells = cells.withColumn("_lot", F.shiftright(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long") * F.lit(lots), 32))
-    cell = ["_size"] if lots == 1 else ["_size", "size", "_lot"]
-    ranked = distributed_rank(cells, ["source"], cell, [F.col("size"), F.col("_draw"), F.col("doc_id")], "_rank")
+    ranked = distributed_rank(cells, ["source"], ["_size", "size", "_lot"], [F.col("_draw"), F.col("doc_id"), F.col("mark")], "_rank")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(F.col("_rank") * rate + F.col("_offset")) - F.floor((F.col("_rank") - 1) * rate + F.col("_offset"))
-    return ranked.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return ranked.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "source", "size", "mark", "source_size", "target", copies.cast("long").alias("copies"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The rows that the mix takes, each as often as it takes them, with all their columns.
 
-    Rows that repeat a doc_id count as one draw each; they are numbered so that each finds its own copies.
+    Rows that repeat a doc_id count as one draw each. Rows alike in doc_id, source and text are numbered, so that each
+    finds its own copies.
     """
-    keys = ["id", "size", "source"]
-    numbered = lambda df, order: df.withColumn("turn", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    plan = numbered(mix(docs, seed).where("copies > 0").select(F.col("doc_id").alias("id"), "size", "source", "copies"), F.desc("copies"))
-    # the whole row travels as one value, so that no column of it can clash
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), _words().alias("size"), F.col("source").cast("string").alias("source"))
-    rows = numbered(rows, F.col("id"))
-    on = [rows[k].eqNullSafe(plan[k]) for k in (*keys, "turn")]
-    taken = rows.join(plan, on).select(rows["row"], F.explode(F.sequence(F.lit(1), plan["copies"].cast("int"))))
-    return taken.select("row.*")
+    key = F.struct("doc_id", F.coalesce("size", F.lit(0).cast("long")).alias("size"), "source", F.coalesce("mark", F.lit(0).cast("long")).alias("mark")).alias("key")
+    copies = F.sort_array(F.collect_list("copies"), asc=False).alias("copies")
+    plan = mix(docs, seed).where("copies > 0").select(key, F.col("copies").cast("int").alias("copies")).groupBy("key").agg(copies)
+    # the whole row travels as one value, so that no column of it can clash; it is shuffled once, by its key
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.struct(*_identity()).alias("key"))
+    rows = rows.select("row", F.struct("key.doc_id", "key.size", "key.source", "key.mark").alias("key"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0))))
+    taken = rows.join(plan, "key").select("row", F.get("copies", F.col("turn") - 1).alias("n")).where("n > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op9_mixing(spark, sf_dir):
