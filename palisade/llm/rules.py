@@ -29,31 +29,35 @@ _POS = 21
 _CODE = 64
 
 
-def _with_repeated_words(df: DataFrame) -> DataFrame:
+def _with_repeated_words(df: DataFrame, bits: int = _POS) -> DataFrame:
     """Adds ``n_repeat_words``, the words inside any 3-word window found twice or more, by sorting each text's windows.
 
-    Needs ``words`` and ``n``. A window is packed with its place into one number as long as places fit; longer texts
-    sort pairs. Equal windows become neighbours, and neighbours are compared word by word. Every array that a lambda
-    looks into is a column of its own, so that it is computed once.
+    Needs ``words`` and ``n``. A window's hash is packed with its place, of ``bits`` bits, into one number, so that equal
+    windows become neighbours, which are compared word by word. Where neighbours of one hash differ, or places don't fit,
+    the windows themselves are sorted, so that the count is exact whatever the hashes. Every array that a lambda looks
+    into is a column of its own, so that it is computed once.
     """
-    window = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
-    same = lambda i, j: reduce(lambda a, b: a & b, [F.get("words", i + k) == F.get("words", j + k) for k in range(3)])
-    low, n, places = F.lit((1 << _POS) - 1).cast("long"), F.col("n"), F.sequence(F.lit(0), F.col("n") - 3)
-    df = df.withColumn("hashes", F.when(n >= 3, F.transform(places, window)))
+    word = lambda i, k: F.get("words", i + k)
+    same = lambda i, j: reduce(lambda a, b: a & b, [word(i, k) == word(j, k) for k in range(3)])
+    low, n, places = F.lit((1 << bits) - 1).cast("long"), F.col("n"), F.sequence(F.lit(0), F.col("n") - 3)
+    df = df.withColumn("hashes", F.when(n >= 3, F.transform(places, lambda i: F.xxhash64(word(i, 0), word(i, 1), word(i, 2)))))
     # most texts repeat no window: only the others sort theirs
     df = df.withColumn("again", F.size(F.array_distinct("hashes")) < F.size("hashes"))
-    packed = F.transform("hashes", lambda h, i: F.shiftleft(h, _POS).bitwiseOR(i.cast("long")))
-    wide = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    df = df.withColumn("packed", F.when(F.col("again") & (n <= 1 << _POS), F.sort_array(packed)))
-    df = df.withColumn("wide", F.when(F.col("again") & (n > 1 << _POS), F.sort_array(wide)))
-
-    def near(column: str, key, place) -> Column:
-        twin = lambda x, y: (key(x) == key(y)) & same(place(x), place(y))
+    packed = F.transform("hashes", lambda h, i: F.shiftleft(h, bits).bitwiseOR(i.cast("long")))
+    df = df.withColumn("packed", F.when(F.col("again") & (n <= 1 << bits), F.sort_array(packed)))
+    key, place = lambda x: F.shiftright(x, bits), lambda x: x.bitwiseAND(low).cast("int")
+    at = lambda i: F.get("packed", i)
+    differ = F.exists(F.sequence(F.lit(1), F.size("packed") - 1), lambda i: (key(at(i - 1)) == key(at(i))) & ~same(place(at(i - 1)), place(at(i))))
+    df = df.withColumn("clash", F.when(F.col("packed").isNotNull(), differ).otherwise(F.col("again")))
+    plain = F.transform(places, lambda i: F.struct(word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("i")))
+    df = df.withColumn("plain", F.when(F.col("clash"), F.sort_array(plain)))
+
+    def near(column: str, twin, place) -> Column:
         alike = lambda x, i: F.when(i > 0, twin(F.get(column, i - 1), x)).otherwise(F.lit(False)) | F.coalesce(twin(F.get(column, i + 1), x), F.lit(False))
         return F.transform(F.filter(column, alike), place)
 
-    short = near("packed", lambda x: F.shiftright(x, _POS), lambda x: x.bitwiseAND(low).cast("int"))
-    spots = F.sort_array(F.coalesce(short, near("wide", lambda x: x["h"], lambda x: x["i"])))
+    exact = near("plain", lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), lambda x: x["i"])
+    spots = F.sort_array(F.coalesce(exact, near("packed", lambda x, y: key(x) == key(y), place)))
     start = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("total"))
     step = lambda a, x: F.struct(x.alias("last"), (a["total"] + F.least(F.lit(3), x - a["last"])).cast("long").alias("total"))
     return df.withColumn("n_repeat_words", F.coalesce(F.aggregate(spots, start, step, lambda a: a["total"]), F.lit(0).cast("long")))
@@ -122,8 +126,9 @@ def judge(docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.31, le
         found = found.withColumn(f"{c}_total", F.aggregate(c, F.lit(0.0), lambda s, x: s + x)).withColumn(c, _share(c))
     found = materialize(found, "rule-features")
     refs = materialize(references(found, least_words, least_documents), "rule-references")
-    own, rest = refs.where("ref_lang is not null"), refs.where("ref_lang is null").select(F.col("ref_chars").alias("all_chars"), F.col("ref_common").alias("all_common"), F.lit(0).alias("_one"))
-    out = found.join(own, found.lang == own.ref_lang, "left").withColumn("_one", F.lit(0)).join(F.broadcast(rest), "_one", "left")  # a single row
+    own, rest = refs.where("ref_lang is not null"), refs.where("ref_lang is null").first()  # that of all languages: one row
+    known = lambda name: (F.lit(None) if rest is None or rest[name] is None else F.array(*map(F.lit, rest[name]))).cast("array<double>").alias(name.replace("ref", "all"))
+    out = found.join(own, found.lang == own.ref_lang, "left").select("*", known("ref_chars"), known("ref_common"))
     chars = F.when(F.col("chars_total") >= least_chars, jensen_shannon(F.col("chars"), F.coalesce("ref_chars", "all_chars")))
     words = F.when(F.col("n_words") >= least_words, jensen_shannon(F.col("common"), F.coalesce("ref_common", "all_common")))
     out = out.withColumn("char_distance", chars).withColumn("word_distance", words)
