@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_texts, slices
 
-WIDTH = 64
+WIDTH, TILE = 64, 1024
 
 
 class MediaError(ValueError):
@@ -73,6 +73,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         flat = np.array([int(x) for x in items[:n]], np.uint8 if top < 256 else np.uint16)
         if bitmap:
             flat = np.where(flat, 0, 255).astype(np.uint8)
+    if not bitmap and flat.max() > top:
+        raise MediaError("a sample over the maximum")
     return flat.reshape((h, w, 3) if deep == 3 else (h, w))
 
 
@@ -95,7 +97,13 @@ def decode_bmp(data: bytes) -> np.ndarray:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """The array of a Netpbm or BMP file. Raises MediaError, and nothing else, for any bytes that are neither."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except MediaError:
+        raise
+    except (ValueError, OverflowError, IndexError, struct.error) as e:
+        raise MediaError(f"broken file: {e}") from e
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -160,6 +168,14 @@ def read_npy_tiles(tiles: list[tuple[int, int, bytes]]) -> np.ndarray:
     return np.concatenate([np.concatenate(r, axis=1) for _, r in sorted(rows.items())], axis=0)
 
 
+def read_npy_files(data: bytes) -> list[np.ndarray]:
+    """The arrays of NPY files that stand one after another."""
+    whole, out = io.BytesIO(data), []
+    while whole.tell() < len(data):
+        out.append(np.load(whole, allow_pickle=False))
+    return out
+
+
 def media_tiles(df: DataFrame, key: str, column: str, height: int = 0, width: int = 0, tile: int = 256) -> DataFrame:
     """(key, error, n_tile rows) of a binary column of Netpbm or BMP files.
 
@@ -188,15 +204,19 @@ def media_tiles(df: DataFrame, key: str, column: str, height: int = 0, width: in
 
 
 def text_as_image(text: bytes) -> bytes:
-    """A P5 file, 64 wide, of the text and zeros up to a positive multiple of 64 bytes."""
-    payload = text + bytes(-len(text) % WIDTH or (0 if text else WIDTH))
-    return encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
+    """The text and zeros up to a positive multiple of 64 bytes as an image 64 wide: a BMP in colour, three bytes a
+    pixel, if they fill its lines, else a P5 file in grey."""
+    payload = np.frombuffer(text + bytes(-len(text) % WIDTH or (0 if text else WIDTH)), np.uint8)
+    if len(payload) % (3 * WIDTH) == 0:
+        return encode_bmp(payload.reshape(-1, WIDTH, 3))
+    return encode_pgm(payload.reshape(-1, WIDTH))
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Stores each text (null: empty) as a PGM file, reads it back and describes it; other columns are ignored.
+    """Makes an image of each text (null: empty), decodes it, stores it as NPY tiles, reads these back and describes them.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature (difference hash).
+    Repeated rows stay; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,8 +224,9 @@ def text_media(docs: DataFrame) -> DataFrame:
             for batch in slices(whole):
                 rows = []
                 for text in binary_texts(batch):
-                    stored = text_as_image(text)
-                    image = decode(stored)
+                    stored = b"".join(tile for _, _, tile in npy_tiles(decode(text_as_image(text)), TILE, WIDTH))
+                    tiles = read_npy_files(stored)
+                    image = tiles[0] if len(tiles) == 1 else np.concatenate(tiles)
                     back = image.tobytes()
                     rows.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(image)))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
