@@ -27,7 +27,7 @@ from .common import slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "iban", "ssn")
-LONGEST = 24
+LONGEST, AHEAD = 24, 512
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # possessive runs and a look-behind keep these linear; a match never starts inside a run of digits
@@ -93,33 +93,34 @@ _SSN_WORD = re.compile(r"(?i)(?:ssn|social|security)\W+(?:\w+\W+)?$")
 N_FEATURES = 24
 
 
-def regions(text: str, gap: int = 8, margin: int = 48, longest: int = 1024) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and at signs, widened to white space by up to ``margin``, cut at ``longest``."""
-    start = end = None
+def _token(text: str, at: int, step: int, stop: int) -> int:
+    """From ``at``, backwards or forwards to the edge of the run of non-blank characters, ``stop`` at the furthest."""
+    if step < 0:
+        while at > stop and not text[at - 1].isspace():
+            at -= 1
+    else:
+        while at < stop and not text[at].isspace():
+            at += 1
+    return at
+
+
+def regions(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches that hold all segments there can be: runs of whole words with a digit or at sign, and, beyond single
+    spaces, of more such words and of words that a spaced number may have."""
+    done = 0
     for m in _SEED.finditer(text):
-        s, e = m.span()
-        while e - s > longest:  # a seed alone longer than a region
-            if start is not None:
-                yield start, end
-            start, end, s = s, s + longest, s + longest
-        if start is not None and s - end <= gap and e - start <= longest:
-            end = e
+        if m.start() < done:
             continue
-        if start is not None:
-            yield start, end
-        start, end = s, e
-    if start is not None:
+        start, end = _token(text, m.start(), -1, done), _token(text, m.end(), 1, len(text))
+        while start - 2 >= done and text[start - 1] == " " and _SPACED.fullmatch(text, at := _token(text, start - 1, -1, done), start - 1):
+            start = at
+        while text[end : end + 1] == " ":
+            to = _token(text, end + 1, 1, len(text))
+            if to == end + 1 or not (_SEED.search(text, end + 1, to) or _SPACED.fullmatch(text, end + 1, to)):
+                break
+            end = to
         yield start, end
-
-
-def _widen(text: str, start: int, end: int, margin: int = 48) -> tuple[int, int]:
-    low = max(0, start - margin)
-    while start > low and not text[start - 1].isspace():
-        start -= 1
-    high = min(len(text), end + margin)
-    while end < high and not text[end].isspace():
-        end += 1
-    return start, end
+        done = end
 
 
 def segment_features(text: str, s: int, e: int) -> list[float]:
@@ -149,11 +150,15 @@ def segment_features(text: str, s: int, e: int) -> list[float]:
     ]
 
 
-def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Number of atoms of a region and its candidate segments (first atom, last atom + 1, start, end)."""
-    atoms = [(m.start(), m.end()) for m in _ATOM.finditer(text, start, end)]
+def _atoms(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    return [m.span() for m in _ATOM.finditer(text, start, end)]
+
+
+def _segments(text: str, atoms: list[tuple[int, int]], first: int, last: int) -> list[tuple[int, int, int, int]]:
+    """Candidate segments (first atom, last atom + 1, start, end) that start at atoms ``first`` to ``last`` - 1."""
     out = []
-    for i, (s, e) in enumerate(atoms):
+    for i in range(first, last):
+        s = atoms[i][0]
         if not (text[s].isascii() and (text[s].isalnum() or text[s] == "+")):
             continue
         rich = space = False
@@ -169,7 +174,13 @@ def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, in
                 break
             if rich and piece[-1].isalnum() and b - s >= 7:
                 out.append((i, j + 1, s, b))
-    return len(atoms), out
+    return out
+
+
+def candidates(text: str, start: int, end: int) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Number of atoms of a stretch and all its candidate segments."""
+    atoms = _atoms(text, start, end)
+    return len(atoms), _segments(text, atoms, 0, len(atoms))
 
 
 class SemiCRF:
@@ -179,29 +190,32 @@ class SemiCRF:
         self.weights = weights
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-        """The best segmentation of a region."""
-        n, spans = candidates(text, start, end)
-        if not spans:
-            return []
-        scores = np.array([segment_features(text, s, e) for _, _, s, e in spans]) @ self.weights.T
-        kinds, best = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist()
-        ending: dict[int, list[int]] = {}
-        for k, (_, j, _, _) in enumerate(spans):
-            if best[k] > 0:
-                ending.setdefault(j, []).append(k)
-        value, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for k in ending.get(j, ()):
-                if (v := value[spans[k][0]] + best[k]) > value[j]:
-                    value[j], back[j] = v, k
+        """The best segmentation of a stretch of any length; segments are scored ``AHEAD`` atoms at a time."""
+        atoms = _atoms(text, start, end)
+        n = len(atoms)
+        value, back = [0.0] * (n + 1), [None] * (n + 1)  # back: (first atom, kind) of the segment that ends here
+        for at in range(0, n, AHEAD):
+            spans = _segments(text, atoms, at, min(n, at + AHEAD))
+            scores = np.array([segment_features(text, s, e) for _, _, s, e in spans]).reshape(-1, N_FEATURES) @ self.weights.T
+            found = zip(spans, scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist(), strict=True)
+            good = {}
+            for (i, j, _, _), kind, score in found:
+                if score > 0:
+                    good.setdefault(i, []).append((j, kind, score))
+            for i in range(at, min(n, at + AHEAD)):  # what ends up to here is settled
+                for j, kind, score in good.get(i, ()):
+                    if value[i] + score > value[j]:
+                        value[j], back[j] = value[i] + score, (i, kind)
+                if value[i] >= value[i + 1]:
+                    value[i + 1], back[i + 1] = value[i], None
         found, j = [], n
         while j > 0:
-            if (k := back[j]) < 0:
+            if back[j] is None:
                 j -= 1
             else:
-                found.append((KINDS[kinds[k]], spans[k][2], spans[k][3]))
-                j = spans[k][0]
+                i, kind = back[j]
+                found.append((KINDS[kind], atoms[i][0], atoms[j - 1][1]))
+                j = i
         return found[::-1]
 
 
@@ -302,7 +316,7 @@ def find_spans(text: str, model: SemiCRF) -> tuple[list[tuple[str, int, int]], l
     # starts of the base spans, and how far those up to each start reach
     starts, reach = sorted(s for _, s, _ in base), list(accumulate((e for _, _, e in sorted(base, key=lambda x: x[1])), max))
     for start, end in regions(text):
-        for kind, s, e in model.decode(text, *_widen(text, start, end)):
+        for kind, s, e in model.decode(text, start, end):
             k = bisect_right(starts, s)
             if kind not in BASE and not (k and reach[k - 1] >= e):
                 every.add((kind, s, e))
