@@ -69,7 +69,33 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     place, files = _file(spark, path)
     files.deleteOnExit(place)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class SortedTable:
+    """A table of the shared folder in buckets by a column, each sorted, so that joins on the column neither shuffle nor sort.
+
+    It is read with ``ORDERED`` set where the query is planned.
+    """
+
+    def __init__(self, df: DataFrame, name: str, by: str, order: list[str], buckets: int):
+        spark = df.sparkSession
+        self.name, path = f"{name}_{uuid.uuid4().hex}", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        with configured(spark, CLEAN | ORDERED):
+            df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(*order).option("path", path).format("parquet").saveAsTable(self.name)
+        place, files = _file(spark, path)
+        files.deleteOnExit(place)
+        self.df, self._drop = spark.table(self.name), lambda: (spark.sql(f"drop table {self.name}"), files.delete(place, True))
+
+    def release(self) -> None:
+        self._drop()
+
+
+#: Sorted buckets are read as such, joins may be on more than the buckets' column, and a union of buckets stays in them.
+ORDERED = {
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    "spark.sql.requireAllClusterKeysForDistribution": "false", "spark.sql.unionOutputPartitioning": "true",
+}
 
 
 def shared_file(spark: SparkSession, name: str, data: bytes) -> str:

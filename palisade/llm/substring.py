@@ -2,12 +2,14 @@
 
 Every text is cut into windows of ``WINDOW`` words. Neighbouring windows whose smallest gram hash is the same form a
 run; equal windows always have the same smallest gram, wherever they stand, so a run is filed under it together with a
-digest of its whole span. The index holds immutable files of (gram, digest) with the first document, sorted by gram. A
-new batch is merge-joined with the files, becomes a further file, and files are compacted once there are ``fanout``.
-
-Runs that agree in gram and digest are the same words. Where one gram has runs with different digests, which is so at
-the edges of shared passages, the texts of one document per digest are read again and their windows compared one by
-one, so that no shared window is missed and none is invented.
+digest of 128 bits of the words of its whole span. The runs of a batch, each with its first document, become an immutable
+table in buckets by gram, sorted. A new batch's table is merge-joined with the older ones, bucket by bucket, without a
+shuffle, and judged; then tables of one level are compacted into one of the next.
+
+A run that agrees with an earlier one in gram is a candidate. It is verified by the digest of its words: runs that agree
+in that are the same words. Where one gram has runs with different words, which is so at the edges of shared passages,
+the texts of one document per run are read again and digests of the words of their windows compared one by one, so that
+no shared window is missed.
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_texts, documents, materialize, release, slices
+from .common import ORDERED, SortedTable, binary_texts, configured, documents, materialize, release, slices
 
 WINDOW, GRAM, LONGEST = 50, 12, 64
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
-RUN = "gram long, digest long, n int, doc_id long, mark long, start int"
-KEY = ["gram", "digest", "n"]
+RUN = "gram long, d1 long, d2 long, n int, doc_id long, place long"
+KEY = ["gram", "d1", "d2", "n"]
+#: A place is 32 bits of the hash of its text, which tell texts apart that share a doc_id, and the number of the first word.
+_START = 31
 
 
 def _powers(base: int, n: int, known: dict = {}) -> np.ndarray:  # noqa: B006  kept from call to call
@@ -89,6 +93,11 @@ def _layout(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     return b" ".join(words), np.concatenate(([0], ends[:-1] + 1)), ends
 
 
+def _digests(line: bytes, spans) -> np.ndarray:
+    """128 bits of each span's words, as two signed numbers."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(line[s:e]) for s, e in spans), "<i8").reshape(-1, 2)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole):
@@ -100,95 +109,126 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(gram):
                     continue
                 line, begin, end = _layout(words)
-                spans = zip(begin[start].tolist(), end[start + n + WINDOW - 2].tolist(), strict=True)
-                digest = np.fromiter((xxhash.xxh3_64_intdigest(line[s:e]) for s, e in spans), np.uint64, len(gram))
-                for column, values in zip(out, (gram.view(np.int64), digest.view(np.int64), n.astype(np.int32), np.full(len(n), doc), np.full(len(n), mark), start.astype(np.int32)), strict=True):
+                digest = _digests(line, zip(begin[start].tolist(), end[start + n + WINDOW - 2].tolist(), strict=True))
+                for column, values in zip(out, (gram.view(np.int64), digest[:, 0], digest[:, 1], n.astype(np.int32), np.full(len(n), doc), start + (mark << _START)), strict=True):
                     column.append(values)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["gram", "digest", "n", "doc_id", "mark", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], [*KEY, "doc_id", "place"])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).alias("mark"), text.alias("text"))
+    mark = F.coalesce(F.xxhash64(text), F.lit(0).cast("long")).bitwiseAND(F.lit((1 << 32) - 1).cast("long"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("mark"), text.alias("text"))
 
 
 def window_runs(docs: DataFrame) -> DataFrame:
-    """The runs of all rows with a doc_id; (doc_id, mark) tells rows apart that repeat a doc_id with another text."""
+    """The runs of all rows with a doc_id."""
     return _texts(docs).where("doc_id is not null").mapInArrow(_cut, RUN)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of each window of the runs listed beside a text."""
     for whole in batches:
-        for batch in slices(whole):
-            out = [[], [], [], [], [], []]
+        for batch in slices(whole, limit=4 << 20):
+            out = [[], [], [], [], [], [], [], []]
             ids = batch.column("doc_id").to_pylist()
             for doc, text, todo in zip(ids, binary_texts(batch), batch.column("todo").to_pylist(), strict=True):
                 line, begin, end = _layout(text.split())
-                begin, end = begin.tolist(), end.tolist()
                 for run in todo:
-                    for i in range(run["n"]):
-                        s = run["start"] + i
-                        found = xxhash.xxh3_128_intdigest(line[begin[s] : end[s + WINDOW - 1]]) & ((1 << 64) - 1)
-                        for column, value in zip(out, (run["gram"], run["digest"], run["n"], doc, i, found), strict=True):
-                            column.append(value)
+                    n, at = run["n"], run["place"] & ((1 << _START) - 1)
+                    found = _digests(line, zip(begin[at : at + n].tolist(), end[at + WINDOW - 1 : at + n + WINDOW - 1].tolist(), strict=True))
+                    for column, values in zip(out, (*(np.full(n, run[k]) for k in KEY), np.full(n, doc), np.arange(n), found[:, 0], found[:, 1]), strict=True):
+                        column.append(values)
             if out[0]:
-                kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.uint64)
-                arrays = [np.array(c, k) for c, k in zip(out, kinds, strict=True)]
-                arrays[5] = arrays[5].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["gram", "digest", "n", "doc_id", "i", "window"])
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.int64, np.int32, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(out, kinds, strict=True)], [*KEY, "doc_id", "i", "w1", "w2"])
 
 
 class FingerprintIndex:
-    """Sorted immutable files of (gram, digest, n) with the first (doc_id, mark, start)."""
-
-    def __init__(self, fanout: int = 4):
-        self.fanout, self.files = fanout, []
-
-    def add(self, batch: DataFrame) -> None:
-        """Files the runs of a batch; what the files already hold of an earlier document is not filed again."""
-        new = batch.groupBy(*KEY).agg(F.min(F.struct("doc_id", "mark", "start")).alias("first"))
-        for file in self.files:
-            old = file.select(*KEY, F.col("first").alias("old"))
-            new = new.hint("merge").join(old, KEY, "left").where(F.col("old").isNull() | (F.col("first.doc_id") < F.col("old.doc_id"))).select(*KEY, "first")
-        self.files.append(materialize(new.sortWithinPartitions(*KEY), "index-file"))
-        if len(self.files) >= self.fanout:
-            self.compact()
-
-    def entries(self) -> DataFrame:
-        """One row per (gram, digest, n): the first of all files."""
-        if len(self.files) == 1:
-            return self.files[0]
-        every = self.files[0]
-        for file in self.files[1:]:
-            every = every.unionByName(file)
-        return every.groupBy(*KEY).agg(F.min("first").alias("first"))
-
-    def compact(self) -> None:
-        merged = materialize(self.entries().repartition("gram").sortWithinPartitions(*KEY), "index-file")
-        for file in self.files:
-            release(file)
-        self.files = [merged]
-
-    def covered(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
-        """(doc_id, mark, start, n): windows of the batch's runs whose words start in an indexed smaller doc_id.
-
-        ``texts`` (doc_id, mark, text) must have every document that is indexed.
+    """Levels of immutable sorted tables of runs (``KEY``) with the first document that has them (doc_id, place).
+
+    Batches must come in the order of doc_id: what is indexed is earlier than what comes.
+    """
+
+    def __init__(self, buckets: int, fanout: int = 2):
+        self.buckets, self.fanout, self.levels, self.compactions = buckets, fanout, [[]], 0
+
+    def _save(self, runs: DataFrame) -> SortedTable:
+        return SortedTable(runs, "palisade_runs", "gram", KEY, self.buckets)
+
+    def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
+        """Files the runs of a batch and judges them: (doc_id, mark, start, n), windows whose words start in an earlier document.
+
+        ``texts`` (doc_id, mark, text) must have the documents that are indexed and those of the batch.
         """
-        entries = self.entries()
-        grams = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("first.doc_id").alias("low"), F.max("first.doc_id").alias("high"))
-        # an earlier run of the same words covers all windows of a run
-        sure = batch.join(entries.select(*KEY, F.col("first.doc_id").alias("own")), KEY).where("doc_id > own").select("doc_id", "mark", "start", "n")
-        # one gram, several digests from more than one document: compare windows
-        mixed = entries.join(grams.where("kinds > 1 and low < high").select("gram"), "gram").select(*KEY, "first.doc_id", "first.mark", "first.start")
-        todo = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*KEY, "start")).alias("todo"))
+        new = self._save(batch.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.max("doc_id").alias("high")))
+        covered = self._judge(batch, new.df, texts)
+        self.levels[0].append(new)
+        level = 0
+        while len(self.levels[level]) >= self.fanout:
+            self._compact(level)
+            level += 1
+        return covered
+
+    def _compact(self, level: int) -> None:
+        """Merges the tables of a level into one of the next: the first document of each run."""
+        old = self.levels[level]
+        with configured(old[0].df.sparkSession, ORDERED):
+            every = old[0].df
+            for table in old[1:]:
+                every = every.unionByName(table.df)
+            merged = self._save(every.groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"), F.max("high").alias("high")))
+        for table in old:
+            table.release()
+        self.levels[level] = []
+        if len(self.levels) == level + 1:
+            self.levels.append([])
+        self.levels[level + 1].append(merged)
+        self.compactions += 1
+
+    def earlier(self, new: DataFrame) -> DataFrame | None:
+        """The indexed runs that share a gram with the new table, by merge joins of sorted buckets."""
+        found = [t.df.hint("merge").join(new.select("gram"), "gram", "left_semi").select(*KEY, "doc_id", "place") for level in self.levels for t in level]
+        for df in found[1:]:
+            found[0] = found[0].unionByName(df)
+        return found[0] if found else None
+
+    def _judge(self, batch: DataFrame, new: DataFrame, texts: DataFrame) -> DataFrame:
+        with configured(new.sparkSession, ORDERED):
+            old = self.earlier(new)
+            # of the new runs those matter whose gram has runs of other words too, here or earlier, or several documents
+            grams = new.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("doc_id").alias("low"), F.max("high").alias("high")).where("kinds > 1 and low < high").select("gram")
+            near = new.select(*KEY, "doc_id", "place")
+            twice = new.where("high > doc_id").select(*KEY, "doc_id", "place")
+            near = near.join(grams, "gram", "left_semi")
+            if old is not None:
+                old = materialize(old, "index-earlier")
+                near = near.unionByName(old).unionByName(new.select(*KEY, "doc_id", "place").join(old.select("gram").distinct(), "gram", "left_semi"))
+            near = near.unionByName(twice).groupBy(*KEY).agg(F.min("doc_id").alias("doc_id"), F.min_by("place", "doc_id").alias("place"))
+            near = materialize(near, "index-near")
+        if old is not None:
+            release(old)
+        grams = near.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("kinds > 1 and low < high").select("gram")
+        grams = materialize(grams, "index-grams")  # a table of its own, so that the join can split a hot gram
+        # one gram, several runs, from more than one document: compare windows
+        mixed = near.join(grams, "gram", "left_semi").withColumn("mark", F.shiftright("place", _START))
+        todo = mixed.groupBy("doc_id", "mark").agg(F.collect_list(F.struct(*KEY, "place")).alias("todo"))
         one = texts.join(todo, ["doc_id", "mark"]).select("doc_id", "text", "todo")
-        found = materialize(one.mapInArrow(_windows, "gram long, digest long, n int, doc_id long, i int, window long"), "index-windows")
-        first = found.groupBy("gram", "window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
-        lows = found.join(first, ["gram", "window"]).groupBy(*KEY).agg(F.collect_list(F.struct("i", "low")).alias("lows"))
-        hits = batch.join(lows, KEY).select("doc_id", "mark", "start", F.explode(F.filter("lows", lambda x: x["low"] < F.col("doc_id"))).alias("x"))
-        return sure.unionByName(hits.select("doc_id", "mark", (F.col("start") + F.col("x.i")).alias("start"), F.lit(1).alias("n")))
+        found = materialize(one.mapInArrow(_windows, "gram long, d1 long, d2 long, n int, doc_id long, i int, w1 long, w2 long"), "index-windows")
+        same = ["gram", "w1", "w2"]
+        first = found.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").drop("high")
+        lows = found.join(first, same).groupBy(*KEY).agg(F.collect_list(F.struct("i", "low")).alias("lows"))  # at most LONGEST
+        known = near.select(*KEY, F.col("doc_id").alias("own")).join(lows, KEY, "left")
+        # an earlier run of the same words covers all windows of a run, else those count that are found earlier
+        start = F.col("place").bitwiseAND(F.lit((1 << _START) - 1).cast("long")).cast("int")
+        parts = F.transform(F.filter(F.coalesce("lows", F.array()), lambda x: x["low"] < F.col("doc_id")), lambda x: F.struct((start + x["i"]).alias("start"), F.lit(1).alias("n")))
+        spans = F.when(F.col("doc_id") > F.col("own"), F.array(F.struct(start.alias("start"), F.col("n").alias("n")))).otherwise(parts)
+        hits = batch.join(known, KEY).select("doc_id", F.shiftright("place", _START).alias("mark"), F.explode(spans).alias("s")).select("doc_id", "mark", "s.*")
+        hits = materialize(hits, "index-covered")
+        for done in (near, grams, found):
+            release(done)
+        return hits
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,30 +256,36 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], digests], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _with_spans(docs: DataFrame, batches: int) -> DataFrame:
-    texts, cut = _texts(docs), [0.0]
+def _with_spans(docs: DataFrame, batches: int, fanout: int = 2) -> tuple[DataFrame, FingerprintIndex]:
+    texts, cut = _texts(docs), []
     if batches > 1:
         cut = docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [k / batches for k in range(1, batches)], 0.01)
-    number = sum(((F.col("doc_id") > c).cast("int") for c in cut), F.lit(0)) if batches > 1 else F.lit(0)
-    rows = materialize(window_runs(docs).withColumn("batch", number), "window-runs")
-    index = FingerprintIndex()
+    number = sum(((F.col("doc_id") > c).cast("int") for c in cut), F.lit(0))
+    rows = materialize(window_runs(docs).withColumn("batch", number), "window-runs", ["batch"])
+    index = FingerprintIndex(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), fanout)
+    covered = None
     for k in range(batches):  # in the order of doc_id, as they would arrive
-        index.add(rows.where(F.col("batch") == k).drop("batch"))
-    covered = index.covered(rows.drop("batch"), texts)
+        there = texts.where(F.col("doc_id") <= cut[k]) if k < len(cut) else texts
+        found = index.add(rows.where(F.col("batch") == k).drop("batch"), there)
+        covered = found if covered is None else covered.unionByName(found)
+    release(rows)
     spans = covered.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return texts.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    for level in index.levels:
+        for table in level:
+            table.release()
+    return texts.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans"), index
 
 
-def deduplicate_substrings(docs: DataFrame, batches: int = 2) -> DataFrame:
+def deduplicate_substrings(docs: DataFrame, batches: int = 3) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row of ``docs`` (doc_id, text); kept: the words left, as UTF-8 bytes.
 
     A word goes if a window of 50 words over it also starts in a row with a smaller doc_id. Null and empty texts have
     no words; a null doc_id neither covers nor is covered; rows that repeat a doc_id don't cover each other. Other
     columns are ignored.
     """
-    return _with_spans(docs, batches).mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept binary")
+    return _with_spans(docs, batches)[0].mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op10_substring(spark, sf_dir):
-    found = _with_spans(documents(spark, sf_dir), 2)
+    found, _ = _with_spans(documents(spark, sf_dir), 3)
     return found.mapInArrow(_digested, "doc_id long, n_words long, n_removed long, kept_sha256 string")
