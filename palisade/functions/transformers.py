@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from enum import IntEnum
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,13 +58,25 @@ class PyTransform:
     """A function from character to character, or None to drop it; ``factory`` makes one with its own state per text."""
 
     factory: Callable[[], Callable[[str], str | None]]
+    stateful: bool = True
 
 
 Transformer = Remap | Keep | Collapse | PyTransform
 
 
+class TransformerType(IntEnum):
+    """Whether a transformer looks at one character at a time or remembers what came before in its text."""
+
+    Simple = 0
+    Stateful = 1
+
+
+def transformer_type(t: Transformer) -> TransformerType:
+    return TransformerType.Stateful if isinstance(t, Collapse) or (isinstance(t, PyTransform) and t.stateful) else TransformerType.Simple
+
+
 def create_simple_transformer(function: Callable[[str], str | None]) -> PyTransform:
-    return PyTransform(lambda: function)
+    return PyTransform(lambda: function, stateful=False)
 
 
 def create_stateful_transformer(factory: Callable[[], Callable[[str], str | None]]) -> PyTransform:

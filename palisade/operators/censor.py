@@ -111,22 +111,24 @@ class TextCensor:
     def apply_to(self, text: Column, matches: Column) -> Column:
         """The censored text; null if either is null, unchanged without matches."""
         order = sorted_matches(matches)
-        later = F.concat(F.slice(order, F.lit(2), F.greatest(F.lit(0), F.size(order) - 1)), F.array(F.lit(None).cast("struct<term_id:int,start_index:int,end_index:int,match_length:int>")))
-        pairs = F.zip_with(order, later, lambda m, n: F.struct(m.alias("m"), n.alias("n")))
+        none = F.array(F.lit(None).cast("struct<term_id:int,start_index:int,end_index:int,match_length:int>"))
+        later = F.concat(F.slice(order, F.lit(2), F.greatest(F.lit(0), F.size(order) - 1)), none)
+        # where the text is written up to before each match, and at last: only these numbers are carried along
+        reach = F.aggregate(order, F.array(F.lit(0)), lambda a, m: F.concat(a, F.array(F.greatest(F.element_at(a, -1), m["end_index"] + 1))))
 
         def rewrite(b: Column) -> Column:
-            def step(a: Column, x: Column) -> Column:
-                m, n, prev = x["m"], x["n"], a["prev"]
+            def piece(x: Column) -> Column:
+                m, n, prev = x["m"], x["n"], x["prev"]
                 ahead = F.coalesce((n["start_index"] <= m["end_index"]) & (m["end_index"] < n["end_index"]), F.lit(False))
                 over = m["start_index"] < prev
                 context = CensorContext(b["text"], b["utf16"], m["term_id"], F.greatest(prev, m["start_index"]), m["end_index"], m["match_length"], over, ahead)
                 gap = F.when(over, F.lit("")).otherwise(_cut(b["utf16"], prev, m["start_index"] - prev))
-                new = F.struct((m["end_index"] + 1).alias("prev"), F.concat(a["out"], gap, self.strategy(context)).alias("out"))
-                return F.when(prev > m["end_index"], a).otherwise(new)
+                return F.when(prev > m["end_index"], F.lit("")).otherwise(F.concat(gap, self.strategy(context)))
 
-            start = F.struct(F.lit(0).alias("prev"), F.lit("").alias("out"))
-            return F.aggregate(b["pairs"], start, step, lambda a: F.concat(a["out"], _cut(b["utf16"], a["prev"])))
+            pairs = F.zip_with(b["order"], b["later"], lambda m, n: F.struct(m.alias("m"), n.alias("n")))
+            steps = F.zip_with(pairs, F.slice(b["reach"], 1, F.size(b["order"])), lambda x, prev: F.struct(x["m"].alias("m"), x["n"].alias("n"), prev.alias("prev")))
+            return F.concat(F.array_join(F.transform(steps, piece), ""), _cut(b["utf16"], F.element_at(b["reach"], -1)))
 
         # an array of one struct: what the steps look into is computed once per text
-        bound = F.array(F.struct(text.alias("text"), F.encode(text, "UTF-16BE").alias("utf16"), pairs.alias("pairs")))
+        bound = F.array(F.struct(text.alias("text"), F.encode(text, "UTF-16BE").alias("utf16"), order.alias("order"), later.alias("later"), reach.alias("reach")))
         return F.when(F.size(matches) > 0, F.get(F.transform(bound, rewrite), F.lit(0))).otherwise(F.when(matches.isNotNull(), text))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import transformers as T
+from .functions.characters import characters, invert_case, is_alphabetic, is_digit, is_lower_case, is_upper_case, is_word_char
 from .operators import censor as C
 from .operators.matcher import PhraseMatcher, contained
-from .plans.patterns import to_regex
+from .plans.patterns import ParserError, pattern, to_regex
 from .sources.dataset import DataSet, terms_of
 from .sources.english import english_dataset, english_recommended_transformers
 from .sources.tables import search_words, table
@@ -35,10 +36,28 @@ LOWER = [T.to_ascii_lower_case()]
 SIMPLE = {"literal_matches": ["idiot", "tion", "stupid"], "optional_matches": ["th[er]e", "[o]nti", "worth[less]"], "wildcard_matches": ["th?n", "id?ot", "e?er"], "boundary_matches": ["|the|", "|on", "er|", "|clown|"]}
 
 
+#: Fixed values, written by hand: patterns with their rules and with their errors.
+RULES = [("abc", "(?s)abc"), ("|a?b|", r"(?s)\ba[\x{0}-\x{FFFF}]b\b"), ("a[b]c", "(?s)a(?:b)?c"), ("x[?]y", r"(?s)x(?:[\x{0}-\x{FFFF}])?y"), (r"\?\|", r"(?s)\?\|")]
+ERRORS = [
+    ("a]", "1:2: Unexpected ']' with no corresponding '['."), ("[aa", "1:3: Unexpected unclosed '['."), ("[[a]]", "1:2: Unexpected nested optional node."),
+    ("hello foo\\", "1:10: Unexpected trailing backslash."), ("[]", "1:2: Unexpected ']' with no corresponding '['."), ("a\nb]", "2:2: Unexpected ']' with no corresponding '['."),
+    ("oopsies \\:", "1:10: Cannot escape character ':'; the only characters that can be escaped are the following: '\\', '[', ']', '?', '|'."),
+    ("su|p", "1:3: Boundary assertions are not supported in this position; they are only allowed at the start / end of the pattern."), ("[o]k", ""),
+]
+
+
+def _error(source: str) -> str:
+    try:
+        pattern(source)
+    except ParserError as e:
+        return str(e)
+    return ""
+
+
 def spread(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table, dealt over all cores if it has fewer partitions than there are cores."""
+    """A table, dealt over all cores if it is fewer files than there are cores."""
     df, cores = table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _register(name: str, query: Query, sql: str | None = None) -> None:
@@ -47,15 +66,9 @@ def _register(name: str, query: Query, sql: str | None = None) -> None:
         ORACLE_SQL[name] = sql
 
 
-def _live(matcher: PhraseMatcher) -> list[int]:
-    """Ids of terms that are not scanned because no text can make them match."""
-    scanned = {i for _, _, ids in matcher.scanner.rules for i in ids}
-    return [t.id for t in matcher.terms if t.id not in scanned]
-
-
 def _matches(name: str, matcher: PhraseMatcher, keys: list[str], terms, allowed, black, white, where: str = "documents", text: str = "text") -> tuple[str, str]:
     _register(name, lambda s, d: matcher.all_matches(spread(s, d, where), text, keys))
-    clause = matches_sql(where, keys, terms, allowed, black, white, text, _live(matcher))
+    clause = matches_sql(where, keys, terms, allowed, black, white, text)
     ORACLE_SQL[name] = f"{clause[0]} select * from {clause[1]}"
     return clause
 
@@ -110,8 +123,13 @@ def _build() -> None:
     small = DataSet().add_phrase(lambda p: p.set_metadata("first").add_pattern("a[b]").add_pattern("|c|").add_whitelisted_term("abc"))
     small = small.add_phrase(lambda p: p.set_metadata("second").add_pattern("d?e"))
     rows = lambda data: "select * from (values " + ", ".join(f"({i}, {k}, {quoted(p)}, {'null' if m is None else quoted(m)})" for i, k, p, m in data._rows()) + ") t(term_id, phrase_id, pattern, metadata)"
-    for name, data in (("dictionary_terms", preset), ("dictionary_union", small.add_all(small)), ("dictionary_removed", preset.remove_phrases_if(lambda p: p.metadata.startswith("a")))):
-        _register(name, lambda s, d, data=data: data.terms(s), rows(data))
+    _register("dictionary_terms", lambda s, d: preset.terms(s), rows(preset))
+    union = "(0, 0, 'a[b]', 'first'), (1, 0, '|c|', 'first'), (2, 1, 'd?e', 'second'), (3, 2, 'a[b]', 'first'), (4, 2, '|c|', 'first'), (5, 3, 'd?e', 'second')"
+    _register("dictionary_union", lambda s, d: small.add_all(small).terms(s), f"select * from (values {union}) t(term_id, phrase_id, pattern, metadata)")
+    _register(
+        "dictionary_removed", lambda s, d: preset.remove_phrases_if(lambda p: p.metadata.startswith("a")).terms(s),
+        f"select (row_number() over (order by term_id) - 1)::int as term_id, (dense_rank() over (order by phrase_id) - 1)::int as phrase_id, pattern, metadata from ({rows(preset)}) where not starts_with(metadata, 'a')",
+    )
 
     strategies = {
         "censor_asterisk": (C.asterisks(), "repeat('*', n)"),
@@ -151,13 +169,60 @@ def _build() -> None:
     clause = matches_sql("documents", ["doc_id"], toxic, [], LOWER, [])
 
     def confusion(s: SparkSession, d: DataFrame) -> DataFrame:
-        labels = table(s, d, "labels").select("doc_id", "toxic")
-        hit = spread(s, d).select("doc_id", tester.has_match(F.col("text")).alias("flagged"))
-        return hit.join(labels, "doc_id").groupBy("toxic", "flagged").agg(F.count(F.lit(1)).alias("documents"))
+        labelled = spread(s, d).select("doc_id", "text").join(table(s, d, "labels").select("doc_id", "toxic"), "doc_id")
+        hit = labelled.select("toxic", tester.has_match(F.col("text")).alias("flagged"))
+        return hit.groupBy("toxic", "flagged").agg(F.count(F.lit(1)).alias("documents"))
 
     _register("toxic_confusion", confusion, f"{clause[0]} select toxic, doc_id in (select doc_id from {clause[1]}) as flagged, count(*) as documents from documents join labels using (doc_id) group by all")
     _register("matches_by_term", lambda s, d: english.all_matches(spread(s, d)).groupBy("term_id").agg(F.count(F.lit(1)).alias("n")), f"{docs[0]} select term_id, count(*) as n from {docs[1]} group by term_id")
-    _register("compiled_rules", lambda s, d: s.createDataFrame([(t.id, to_regex(t.pattern, "re2")) for t in english.terms], "term_id int, rule string"), "select * from (values " + ", ".join(f"({t.id}, {quoted(to_regex(t.pattern, 're2'))})" for t in english.terms) + ") t(term_id, rule)")
+    rules = [pattern(p) for p, _ in RULES]
+    _register("compiled_rules", lambda s, d: s.createDataFrame([(i, to_regex(p, "re2")) for i, p in enumerate(rules)], "term_id int, rule string"), "select * from (values " + ", ".join(f"({i}, {quoted(rule)})" for i, (_, rule) in enumerate(RULES)) + ") t(term_id, rule)")
+    _register("pattern_errors", lambda s, d: s.createDataFrame([(p, _error(p)) for p, _ in ERRORS], "pattern string, error string"), "select * from (values " + ", ".join(f"({quoted(p)}, {quoted(e)})" for p, e in ERRORS) + ") t(pattern, error)")
+
+    # transformers in Python against the SQL of those they imitate
+    simple = T.create_simple_transformer(lambda c: c.lower() if c.isascii() else c)
+
+    def once():
+        last = [None]
+
+        def keep(c):
+            last[0], before = c, last[0]
+            return None if c == before else c
+
+        return keep
+
+    for name, black, same in (("transformer_simple", [simple], LOWER), ("transformer_stateful", [T.create_stateful_transformer(once)], [T.collapse_duplicates()])):
+        _matches(name, PhraseMatcher(toxic, (), black), ["doc_id"], toxic, [], same, [])
+
+    # random characters: their number, their set, and none beside itself
+    alone = [t for t in terms if t.id < len(INSULTS)]
+    matcher_alone = PhraseMatcher(alone, (), LOWER)
+    alone_sql = censor_sql("documents", ["doc_id"], matches_sql("documents", ["doc_id"], alone, [], LOWER, []), "repeat('~', n)")
+
+    def random_alone(s: SparkSession, d: DataFrame) -> DataFrame:
+        text = C.TextCensor(C.random_char_from_set("~^")).apply_to(F.col("text"), F.col("m"))
+        cut = spread(s, d).select("doc_id", matcher_alone.matches(F.col("text")).alias("m"), "text").select("doc_id", text.alias("c"))
+        return cut.select("doc_id", F.translate("c", "^", "~").alias("shape"))
+
+    _register("censor_random_shape", random_alone, f"select doc_id, translate(censored, '^', '~') as shape from ({alone_sql})")
+    custom = lambda c: F.concat(F.lit("<"), F.upper(C._cut(c.utf16, c.start_index, c.end_index - c.start_index + 1)), F.lit(">"))
+    _register(
+        "censor_custom", lambda s, d: spread(s, d).select("doc_id", "text", matcher.matches(F.col("text")).alias("m")).select("doc_id", C.TextCensor().set_strategy(custom).apply_to(F.col("text"), F.col("m")).alias("censored")),
+        censor_sql("documents", ["doc_id"], found, "'<' || upper(substr(t, s + 1, e - s + 1)) || '>'"),
+    )
+
+    def counts(s: SparkSession, d: DataFrame) -> DataFrame:
+        codes = spread(s, d).select("doc_id", F.transform(characters(F.col("text")), lambda c: c["code_point"]).alias("c"))
+        n = lambda test: F.size(F.filter("c", test)).cast("long")
+        return codes.select("doc_id", n(is_upper_case).alias("upper"), n(is_lower_case).alias("lower"), n(is_digit).alias("digits"), n(is_word_char).alias("word_chars"))
+
+    many = lambda kind: f"length(regexp_replace(text, '[^{kind}]', '', 'g'))::bigint"
+    _register("character_counts", counts, f"select doc_id, {many('A-Z')} as upper, {many('a-z')} as lower, {many('0-9')} as digits, {many('A-Za-z0-9')} as word_chars from documents")
+    _register(
+        "character_positions",
+        lambda s, d: spread(s, d, "conversations").select("conv_id", "turn", F.explode(characters(F.col("text"))).alias("c")).where(is_alphabetic(F.col("c.code_point"))).groupBy("conv_id", "turn").agg(F.sum("c.position").cast("long").alias("places"), F.sum(invert_case(F.col("c.code_point"))).cast("long").alias("inverted")),
+        "select conv_id, turn, sum(i - 1)::bigint as places, sum(xor(unicode(c), 32))::bigint as inverted from (select conv_id, turn, unnest(range(1, length(text) + 1)) as i, unnest(regexp_extract_all(text, '(?s).')) as c from conversations) where regexp_matches(c, '[A-Za-z]') group by conv_id, turn",
+    )
 
 
 _build()

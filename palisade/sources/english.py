@@ -113,3 +113,8 @@ def english_recommended_transformers() -> dict[str, list]:
         "blacklist_matcher_transformers": [resolve_confusables(), resolve_leet_speak(), to_ascii_lower_case(), collapse_duplicates(1, dict.fromkeys(DOUBLED, 2))],
         "whitelist_matcher_transformers": [to_ascii_lower_case(), collapse_duplicates(math.inf, {" ": 1})],
     }
+
+
+def english_profane_words() -> list[str]:
+    """The values that ``phrase_metadata`` of the English preset can have."""
+    return list(dict.fromkeys(word for word, _, _ in PHRASES))

@@ -4,7 +4,7 @@ import pytest
 from palisade import queries as Q
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["confusables", "collapse_custom", "boundary_matches", "matches_whitelisted", "whitelist_intervals", "matches_sorted", "preset_matches", "matches_with_metadata", "dictionary_union", "censor_keep_both", "censor_overlaps", "word_suffix", "toxic_confusion"]
+NAMES = ["confusables", "collapse_custom", "boundary_matches", "matches_whitelisted", "whitelist_intervals", "matches_sorted", "preset_matches", "matches_with_metadata", "dictionary_union", "censor_keep_both", "censor_overlaps", "word_suffix", "toxic_confusion", "dictionary_removed", "compiled_rules", "pattern_errors", "transformer_simple", "transformer_stateful", "censor_random_shape", "censor_custom", "character_counts", "character_positions"]
 
 
 @pytest.mark.parametrize("name", NAMES)
