@@ -140,14 +140,16 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     same = sets.join(first, "fp").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
     close = bits.select("a", "b").unionByName(same).where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     linked = verified(close)
-    rooted = rooted_by(linked)
+    rooted, before = rooted_by(linked), 0.0
     for turn in range(TURNS + 1):
         # shingles whose sets are all in one component have nothing left to say
         size = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("set_id", "n", "at", "root"), F.xxhash64("set_id", F.lit(turn))).alias("lead"))
         size = materialize(size.where("low < high").select("shingle", "k", "lead"), "shingle-groups")
         work = size.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
-        if work <= pairs * total or turn == TURNS:
+        # a turn that leaves over half of the work meets texts that share passages but are not alike: more would not help
+        if work <= pairs * total or turn == TURNS or (turn and 2 * work > before):
             break
+        before = work
         leads = size.select("shingle", "lead.*")
         new = verified(pairs_of(rooted.alias("x").join(leads.alias("y"), F.col("x.shingle") == F.col("y.shingle"))))
         release(size)

@@ -55,14 +55,3 @@ def test_stage_equals_brute_force(spark):
     docs = [(int(i), t) for i, t in pd.read_parquet(f"{WHERE}/documents.parquet")[["doc_id", "text"]].itertuples(index=False)]
     got = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{WHERE}/documents.parquet"), WHERE)
     assert sorted(x.doc_id for x in got.collect()) == _first_of_each(docs)
-
-
-def test_pipeline_equals_plain_stages_by_similarity(spark, monkeypatch):
-    import test_pipeline
-
-    def first_of_each(docs):
-        kept = set(_first_of_each([(d["doc_id"], d["text"]) for d in docs]))
-        return sorted((d for d in docs if d["doc_id"] in kept), key=lambda d: d["doc_id"])
-
-    monkeypatch.setattr(test_pipeline, "_first_of_each", first_of_each)
-    test_pipeline.test_pipeline_equals_plain_stages(spark)

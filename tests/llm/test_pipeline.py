@@ -9,9 +9,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import test_jaccard
 from pyspark.sql import functions as F
 
-from palisade.llm import bpe, pii, quality, simhash
+from palisade.llm import bpe, pii, quality
 
 WHERE = "/root/testdata/sf0.001"
 
@@ -38,12 +39,9 @@ def _good(docs: list[dict], labels: dict[int, int]) -> list[dict]:
 
 
 def _first_of_each(docs: list[dict]) -> list[dict]:
-    docs = sorted(docs, key=lambda d: d["doc_id"])
-    prints = np.array([simhash.fingerprint((d["text"] or "").encode(), 5) for d in docs], np.uint64)
-    near, label = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3, np.arange(len(docs))
-    while not (label == (new := np.where(near, label[None, :], len(docs)).min(axis=1))).all():
-        label = new
-    return [d for k, d in enumerate(docs) if label[k] == k]
+    """The contract's rule: similarity of 0.8 or more in shingles of five words."""
+    kept = set(test_jaccard._first_of_each([(d["doc_id"], d["text"]) for d in docs]))
+    return sorted((d for d in docs if d["doc_id"] in kept), key=lambda d: d["doc_id"])
 
 
 def _mixed(docs: list[dict]) -> list[dict]:
