@@ -8,12 +8,16 @@ by shingle. The order is by hash, with shingles that many texts of a sample have
 rarely bring texts together. Every candidate is verified, so no similar pair is missed and none is invented (but for
 collisions of 64-bit hashes).
 
+Two sets differ in at least as many shingles as the parities of their shingles' bits do, so pairs whose parities
+differ in more than the similarity allows are left out within the join and never become rows.
+
 Large groups are first compared with one member each; what is linked by that is not compared again among itself.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,8 @@ from .common import binary_texts, materialize, release, slices
 from .simhash import _mark, connected_components, fingerprint_of, first_rows, links, shingle_hashes
 
 HOT, SHARE, MOST_HOT, TURNS, PAIRS, HELD = 2, 8, 200_000, 6, 20, 2_000_000
+#: The columns of a set's parities, 64 each.
+PARITY = [f"p{i}" for i in range(8)]
 
 
 def shingle_set(text: bytes, width: int = 5) -> np.ndarray:
@@ -37,17 +43,26 @@ def _set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes())
 
 
+def _parities(shingles: np.ndarray) -> np.ndarray:
+    """For each of the values that part of a hash can take, whether an odd number of the shingles has it."""
+    size = 64 * len(PARITY)
+    odd = np.bincount((shingles >> np.uint64(32)).astype(np.int64) % size, minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _identify(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                ids, prints = [], []
+                ids, prints, parities = [], [], []
                 for text in binary_texts(batch):
                     hashes = shingle_hashes(text, width)
-                    ids.append(_set_id(np.unique(hashes)))
+                    ids.append(_set_id(every := np.unique(hashes)))
+                    parities.append(_parities(every))
                     prints.append(fingerprint_of(hashes))
                 both = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *both], ["doc_id", "mark", "set_id", "fp"])
+                odd = map(pa.array, np.stack(parities, axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), *both, *odd], ["doc_id", "mark", "set_id", "fp", *PARITY])
 
     return run
 
@@ -90,16 +105,17 @@ def _sets(width: int):
 
 
 def _meets(one: str, two: str, num: int, den: int) -> Column:
-    """Whether two sets that first meet at this shingle can be similar: by their sizes and by what is left behind it."""
+    """Whether two sets that first meet at this shingle can be similar: by sizes, by what is left behind it and by parities."""
     n, m = F.col(f"{one}.n").cast("long"), F.col(f"{two}.n").cast("long")
     left = F.least(n - F.col(f"{one}.at"), m - F.col(f"{two}.at"))
-    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (left * (num + den) >= (n + m) * num)
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{one}.{p}").bitwiseXOR(F.col(f"{two}.{p}"))) for p in PARITY])
+    return (F.least(n, m) * den >= F.greatest(n, m) * num) & (left * (num + den) >= (n + m) * num) & (differ * (num + den) <= (n + m) * (den - num))
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den: int, hot: int = HOT, share: int = SHARE, pairs: int = PAIRS) -> DataFrame:
     """(u, v): links between different sets of similarity num / den or more, enough to join all that are similar.
 
-    ``prints`` (doc_id, mark, set_id, fp) is of ``docs`` (mark, text).
+    ``prints`` (doc_id, mark, set_id, fp and parities) is of ``docs`` (mark, text).
     """
     schema = "shingle long, set_id long, n int, at int"
     texts = docs.select("mark", "text")
@@ -108,9 +124,11 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     often = counts.where(F.col("count") > hot).orderBy(F.desc("count")).limit(MOST_HOT).select("shingle").toPandas()
     late = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
     rows = texts.mapInArrow(_prefixes(width, num, den, late), schema).repartition("shingle").dropDuplicates(["shingle", "set_id"])
-    rows = materialize(rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1").drop("k"), "prefixes")
+    known = materialize(prints.groupBy("set_id").agg(F.min("mark").alias("mark"), *[F.first(p).alias(p) for p in PARITY]), "sets")
+    rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1").drop("k")
+    rows = materialize(rows.join(known.drop("mark"), "set_id"), "prefixes")
     total = rows.count()
-    marks = prints.groupBy("set_id").agg(F.min("mark").alias("mark"))
+    marks = known.select("set_id", "mark")
 
     def verified(found: DataFrame) -> DataFrame:
         found = materialize(found, "candidates")
@@ -143,7 +161,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     rooted, before = rooted_by(linked), 0.0
     for turn in range(TURNS + 1):
         # shingles whose sets are all in one component have nothing left to say
-        size = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("set_id", "n", "at", "root"), F.xxhash64("set_id", F.lit(turn))).alias("lead"))
+        size = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("set_id", "n", "at", "root", *PARITY), F.xxhash64("set_id", F.lit(turn))).alias("lead"))
         size = materialize(size.where("low < high").select("shingle", "k", "lead"), "shingle-groups")
         work = size.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
         # a turn that leaves over half of the work meets texts that share passages but are not alike: more would not help
@@ -159,7 +177,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     open_ = rooted.join(size.select("shingle"), "shingle", "left_semi")
     on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id"))
     rest = verified(pairs_of(open_.alias("x").join(open_.alias("y"), on)))
-    for done in (rows, rooted, size):
+    for done in (rows, rooted, size, known):
         release(done)
     return linked.unionByName(rest)
 
@@ -171,7 +189,7 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, num: int = 4, den: int
     more. Null and empty texts are alike. Null and repeated doc_ids count as in ``simhash.deduplicate``.
     """
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    prints = materialize(few.mapInArrow(_identify(width), "doc_id long, mark long, set_id long, fp long"), "set-ids")
+    prints = materialize(few.mapInArrow(_identify(width), "doc_id long, mark long, set_id long, fp long, " + ", ".join(f"{p} long" for p in PARITY)), "set-ids")
     roots = connected_components(similar_links(few, prints, width, num, den, **limits))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     reps = prints.groupBy("set_id").agg(F.min(order).alias("first"))
