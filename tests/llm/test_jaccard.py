@@ -55,3 +55,18 @@ def test_stage_equals_brute_force(spark):
     docs = [(int(i), t) for i, t in pd.read_parquet(f"{WHERE}/documents.parquet")[["doc_id", "text"]].itertuples(index=False)]
     got = corpus_pipeline.near_dedup(spark, spark.read.parquet(f"{WHERE}/documents.parquet"), WHERE)
     assert sorted(x.doc_id for x in got.collect()) == _first_of_each(docs)
+
+
+def test_parities_never_differ_more_than_the_sets():
+    import numpy as np
+
+    from palisade.llm.jaccard import _parities
+
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 60, 3000):
+        for other in (0, 1, 20, 400):
+            one = rng.integers(0, 1 << 64, n, np.uint64)
+            two = np.concatenate((one[: n - n // 8], rng.integers(0, 1 << 64, other, np.uint64)))
+            apart = len(np.setxor1d(one, two))
+            differ = int(np.bitwise_count((_parities(np.unique(one)) ^ _parities(np.unique(two))).view(np.uint64)).sum())
+            assert differ <= apart and differ % 2 == apart % 2
