@@ -11,7 +11,9 @@ collisions of 64-bit hashes).
 Two sets differ in at least as many shingles as the parities of their shingles' bits do, so pairs whose parities
 differ in more than the similarity allows are left out within the join and never become rows.
 
-Large groups are first compared with one member each; what is linked by that is not compared again among itself.
+Groups of over ``pairs`` sets are first compared with a few of their members, in number of the root of the group's
+size; what is linked by that is one component and is not compared again among itself. So a large group of near copies
+gives links in proportion to its size, not all its pairs; the last join covers every pair that is still apart.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from pyspark.sql.window import Window
 from .common import binary_texts, materialize, release, slices
 from .simhash import _mark, connected_components, fingerprint_of, first_rows, links, shingle_hashes
 
-HOT, SHARE, MOST_HOT, TURNS, PAIRS, HELD = 2, 8, 200_000, 6, 20, 2_000_000
+HOT, SHARE, MOST_HOT, PAIRS, HELD = 2, 8, 200_000, 20, 2_000_000
+#: Sampled turns at most; sets of a sample in root of the group's size; links of a sample in known sets that are few.
+TURNS, LEADS, FEW, CHANCE = 8, 2, 64, 1 << 20
 #: The columns of a set's parities, 64 each.
 PARITY = [f"p{i}" for i in range(8)]
 
@@ -127,7 +131,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     known = materialize(prints.groupBy("set_id").agg(F.min("mark").alias("mark"), *[F.first(p).alias(p) for p in PARITY]), "sets")
     rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1").drop("k")
     rows = materialize(rows.join(known.drop("mark"), "set_id"), "prefixes")
-    total = rows.count()
+    sets_known = known.count()
     marks = known.select("set_id", "mark")
 
     def verified(found: DataFrame) -> DataFrame:
@@ -158,23 +162,24 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     same = sets.join(first, "fp").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
     close = bits.select("a", "b").unionByName(same).where("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
     linked = verified(close)
-    rooted, before = rooted_by(linked), 0.0
-    for turn in range(TURNS + 1):
-        # shingles whose sets are all in one component have nothing left to say
-        size = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by(F.struct("set_id", "n", "at", "root", *PARITY), F.xxhash64("set_id", F.lit(turn))).alias("lead"))
-        size = materialize(size.where("low < high").select("shingle", "k", "lead"), "shingle-groups")
-        work = size.agg(F.coalesce(F.sum(F.col("k") * (F.col("k") - 1) / 2), F.lit(0.0))).first()[0]
-        # a turn that leaves over half of the work meets texts that share passages but are not alike: more would not help
-        if work <= pairs * total or turn == TURNS or (turn and 2 * work > before):
-            break
-        before = work
-        leads = size.select("shingle", "lead.*")
+    rooted = rooted_by(linked)
+    for turn in range(TURNS):
+        # in large groups that several components meet in, some sets, about the root of their number, are compared with all
+        wide = rooted.groupBy("shingle").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("low"), F.max("root").alias("high"))
+        wide = materialize(wide.where((F.col("low") < F.col("high")) & (F.col("k") > pairs)).select("shingle", "k"), "wide-groups")
+        chance = F.pmod(F.xxhash64("set_id", F.lit(turn)), F.lit(CHANCE)) < F.lit(CHANCE * LEADS) / F.sqrt("k")
+        leads = rooted.join(wide, "shingle").where(chance).drop("k")
         new = verified(pairs_of(rooted.alias("x").join(leads.alias("y"), F.col("x.shingle") == F.col("y.shingle"))))
-        release(size)
-        linked = linked.unionByName(new)
+        linked, count = linked.unionByName(new), new.count()
+        release(wide)
         release(rooted)
         rooted = rooted_by(linked)
-    open_ = rooted.join(size.select("shingle"), "shingle", "left_semi")
+        # few links of a sample: what still meets shares passages but is not alike, or little is left
+        if count * FEW <= sets_known:
+            break
+    # shingles whose sets are all in one component have nothing left to say
+    size = materialize(rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("shingle"), "shingle-groups")
+    open_ = rooted.join(size, "shingle", "left_semi")
     on = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.set_id") < F.col("y.set_id"))
     rest = verified(pairs_of(open_.alias("x").join(open_.alias("y"), on)))
     for done in (rows, rooted, size, known):
