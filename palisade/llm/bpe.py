@@ -32,7 +32,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shared_file, slices
+from .common import materialize, release, shared_file, slices, tidied
 
 END = "</w>"
 _ID = 24
@@ -365,7 +365,7 @@ def frequent_words(docs: DataFrame, k: int = 50_000) -> list[str]:
                     yield flush()
         yield flush()
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word string, n long")
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidied(run), "word string, n long")
     counted = rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word", F.floor(F.log2("n") * 8).cast("int").alias("level"))
     counted, total, least = materialize(counted, "word-levels"), 0, None
     for r in sorted(counted.groupBy("level").count().collect(), key=lambda r: -r["level"]):
@@ -397,13 +397,17 @@ _opened: dict[str, Codec] = {}
 
 
 def _codec(name: str) -> Codec:
-    """The codec of a distributed file. A worker keeps one: every run has a file of its own, so an earlier one's goes first."""
+    """The codec of a distributed file, which a worker keeps until its task ends."""
     if name not in _opened:
         _opened.clear()
         _opened[name] = Codec.open(SparkFiles.get(name))
     return _opened[name]
 
 
+def _close() -> None:
+    _opened.clear()
+
+
 def distribute(docs: DataFrame, vocabulary: str, k: int = 50_000) -> str:
     """Compiles a codec for the corpus, writes it to the shared folder and hands it to all executors; its name there."""
     spark, name = docs.sparkSession, f"codec-{uuid.uuid4().hex}.bin"
@@ -441,7 +445,7 @@ def _encoded(docs: DataFrame, vocabulary: str, k: int, schema: str, finish) -> D
                         rows.append(finish(codec.written(ids), codec.decode(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)
 
-    return _few(docs).mapInArrow(run, f"doc_id long, n_tokens long, {schema}")
+    return _few(docs).mapInArrow(tidied(run, _close), f"doc_id long, n_tokens long, {schema}")
 
 
 def token_digests(docs: DataFrame, vocabulary: str, k: int = 50_000) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
@@ -138,6 +139,22 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 16 << 20) -
         yield batch.slice(start)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], clear: Callable[[], None] | None = None):
+    """``run`` for mapInArrow; a worker, which Spark keeps for later tasks, gives back what it holds when the task ends."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if clear:
+                clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 def distributed_rank(df: DataFrame, parts: list[str], cell: list[str], order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: the 1-based rank within ``parts`` by (``cell``, ``order``) without one task per part.
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_texts, materialize, release, slices
+from .common import binary_texts, materialize, release, slices, tidied
 from .simhash import _mark, connected_components, fingerprint_of, first_rows, links, shingle_hashes
 
 HOT, SHARE, MOST_HOT, PAIRS, HELD = 2, 8, 200_000, 20, 2_000_000
@@ -124,10 +124,10 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     schema = "shingle long, set_id long, n int, at int"
     texts = docs.select("mark", "text")
     sample = texts.where(F.pmod("mark", F.lit(share)) == 0)  # sets the order only, which may be any
-    counts = sample.mapInArrow(_prefixes(width, num, den, np.zeros(0, np.uint64)), schema).groupBy("shingle").count()
+    counts = sample.mapInArrow(tidied(_prefixes(width, num, den, np.zeros(0, np.uint64))), schema).groupBy("shingle").count()
     often = counts.where(F.col("count") > hot).orderBy(F.desc("count")).limit(MOST_HOT).select("shingle").toPandas()
     late = np.sort(often["shingle"].to_numpy(np.int64).view(np.uint64))
-    rows = texts.mapInArrow(_prefixes(width, num, den, late), schema).repartition("shingle").dropDuplicates(["shingle", "set_id"])
+    rows = texts.mapInArrow(tidied(_prefixes(width, num, den, late)), schema).repartition("shingle").dropDuplicates(["shingle", "set_id"])
     known = materialize(prints.groupBy("set_id").agg(F.min("mark").alias("mark"), *[F.first(p).alias(p) for p in PARITY]), "sets")
     rows = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("k > 1").drop("k")
     rows = materialize(rows.join(known.drop("mark"), "set_id"), "prefixes")
@@ -138,7 +138,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
         found = materialize(found, "candidates")
         one = materialize(found.select(F.explode(F.array("u", "v")).alias("set_id")).distinct().join(marks, "set_id"), "candidate-marks")
         few = F.broadcast(one) if one.count() <= HELD else one
-        sets = materialize(texts.join(few, "mark").dropDuplicates(["mark"]).mapInArrow(_sets(width), "set_id long, shingles array<long>"), "shingle-sets")
+        sets = materialize(texts.join(few, "mark").dropDuplicates(["mark"]).mapInArrow(tidied(_sets(width)), "set_id long, shingles array<long>"), "shingle-sets")
         a, b = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("b"))
         # whole sets are compared row by row in the JVM, so that no batch of them has to fit a worker
         shared = F.size(F.array_intersect("a", "b")).cast("long") * (num + den)
@@ -194,7 +194,7 @@ def deduplicate_similar(docs: DataFrame, width: int = 5, num: int = 4, den: int
     more. Null and empty texts are alike. Null and repeated doc_ids count as in ``simhash.deduplicate``.
     """
     few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    prints = materialize(few.mapInArrow(_identify(width), "doc_id long, mark long, set_id long, fp long, " + ", ".join(f"{p} long" for p in PARITY)), "set-ids")
+    prints = materialize(few.mapInArrow(tidied(_identify(width)), "doc_id long, mark long, set_id long, fp long, " + ", ".join(f"{p} long" for p in PARITY)), "set-ids")
     roots = connected_components(similar_links(few, prints, width, num, den, **limits))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     reps = prints.groupBy("set_id").agg(F.min(order).alias("first"))
