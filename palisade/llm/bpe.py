@@ -36,7 +36,12 @@ from .common import materialize, release, shared_file, slices, tidied
 
 END = "</w>"
 _ID = 24
+#: An id that no token has: it marks what is not, or no longer, part of a word.
+_NO = (1 << _ID) - 1
+#: Words without an entry in the lexicon that a worker keeps, about; words merged together; words of one text looked up at a time.
 _KEPT = 60_000
+_TOGETHER = 4_096
+_BLOCK = 200_000
 _COUNTED = 100_000
 #: Unicode white space, as a class; Python's own also takes the separators U+001C to U+001F.
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -122,6 +127,61 @@ class Merges:
             parts[-1] = self.last[word[-1]]
         return self._merge_long(parts) if len(parts) > 40 else self._merge_short(parts)
 
+    def encode_many(self, words: list[bytes]) -> list[list[int]]:
+        """As ``encode`` of each word, with arrays for many of like length together; very long ones one by one."""
+        found: list = [None] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order and len(words[order[-1]]) > 40:
+            i = order.pop()
+            found[i] = self.encode(words[i])
+        for at in range(0, len(order), _TOGETHER):
+            some = order[at : at + _TOGETHER]
+            for i, ids in zip(some, self._merge_many([words[i] for i in some]), strict=True):
+                found[i] = ids
+        return found
+
+    @functools.cached_property
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """The pairs in order and their ranks, each with one more that stands for none; then what ranks make, and the units."""
+        pairs, ranks = np.fromiter(self.rank, np.int64), np.fromiter(self.rank.values(), np.int64)
+        order = np.argsort(pairs)
+        known = np.append(pairs[order], np.iinfo(np.int64).max), np.append(ranks[order], len(self.made))
+        return *known, *(np.array(x, np.int64) for x in (self.made, self.inner, self.last))
+
+    def _merge_many(self, words: list[bytes]) -> Iterator[list[int]]:
+        """A round merges one pair of every word. A word is a column, its parts are linked and have a row with ``_NO`` at both ends."""
+        pairs, ranks, made, inner, last = self._arrays
+        n, none, sizes = len(words), len(self.made), np.fromiter(map(len, words), np.int64)
+        height, raw = int(sizes.max()) + 2, np.frombuffer(b"".join(words), np.uint8)
+        letters, full = np.full((n, height), _NO, np.int64), np.flatnonzero(sizes)
+        letters[:, 1:-1][np.arange(height - 2) < sizes[:, None]] = inner[raw]
+        letters[full, sizes[full]] = last[raw[np.cumsum(sizes)[full] - 1]]
+        parts, size = letters.T.ravel(), n * height
+
+        def ranked(left: np.ndarray, right: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Rank and place in one number: the least of a column is the lowest rank's leftmost pair."""
+            pair = left << _ID | right
+            i = np.searchsorted(pairs, pair)
+            return np.where(pairs[i] == pair, ranks[i], none) * size + at
+
+        places = np.arange(size)
+        after, before = places + n, places - n
+        keys = np.append(ranked(parts[:-n], parts[n:], places[:-n]), np.full(n, none * size))
+        columns = keys.reshape(height, n)
+        while (best := columns.min(axis=0)).min() < none * size:
+            rank, at = np.divmod(best[best < none * size], size)
+            gone, prior, new = after[at], before[at], made[rank]
+            then = after[gone]
+            parts[at], parts[gone], keys[gone] = new, _NO, none * size
+            after[at], before[then] = then, at
+            keys[at], keys[prior] = ranked(new, parts[then], at), ranked(parts[prior], new, prior)
+        rows = parts.reshape(height, n).T
+        there = rows != _NO
+        ids, end = rows[there].tolist(), 0
+        for k in there.sum(axis=1).tolist():
+            start, end = end, end + k
+            yield ids[start:end]
+
     def _merge_short(self, parts: list[int]) -> list[int]:
         get, none = self.rank.get, len(self.made)
         found = [get(a << _ID | b, none) for a, b in zip(parts, parts[1:], strict=False)]
@@ -257,31 +317,76 @@ class Lexicon:
             return None
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
+    @functools.cached_property
+    def _arrays(self) -> tuple[np.ndarray, ...]:
+        """State and label of every edge in one number, in order, with one more that stands for none; targets, skips, finals."""
+        sources = np.repeat(np.arange(len(self.finals)), np.diff(np.asarray(self.first).astype(np.int64)))
+        edges = np.append(sources << 8 | np.frombuffer(self.labels, np.uint8), np.iinfo(np.int64).max)
+        return edges, np.asarray(self.targets), np.asarray(self.skips), np.frombuffer(self.finals, np.bool_)
+
+    def find_many(self, words: list[bytes]) -> list[list[int] | None]:
+        """As ``find`` of each word, with a step of all words at once."""
+        edges, targets, skips, finals = self._arrays
+        sizes, raw = np.fromiter(map(len, words), np.int64), np.frombuffer(b"".join(words), np.uint8)
+        begins, states, numbers = np.cumsum(sizes) - sizes, np.full(len(words), self.root, np.int64), np.zeros(len(words), np.int64)
+        going, step = np.flatnonzero(sizes), 0
+        while going.size:
+            wanted = states[going] << 8 | raw[begins[going] + step]
+            edge = np.searchsorted(edges, wanted)
+            there = edges[edge] == wanted
+            states[going[~there]] = -1
+            going, edge, step = going[there], edge[there], step + 1
+            states[going] = targets[edge]
+            numbers[going] += skips[edge]
+            going = going[sizes[going] > step]
+        found: list[list[int] | None] = [None] * len(words)
+        for i in np.flatnonzero((states >= 0) & finals[states]).tolist():
+            number = numbers[i]
+            found[i] = self.ids[self.starts[number] : self.starts[number + 1]].tolist()
+        return found
+
 
 class _Odd(Exception):
     """A word has characters that the library and Python treat apart."""
 
 
 class _Pieces(dict):
-    """Word to ids; forgets all once it has grown large, as the lexicon holds the frequent ones."""
+    """Word to ids. A new word has an empty list, which ``settle`` fills; words of the lexicon stay, others go once there are many."""
 
     def __init__(self, merges: Merges, lexicon: Lexicon):
         super().__init__()
         self.merges, self.lexicon = merges, lexicon
+        self.new: list[str] = []
+        self.rare: list[str] = []
 
-    def find(self, word: str) -> tuple[int, ...]:
+    def find(self, word: str) -> list[int]:
         raw = word.encode()
         ids = self.lexicon.find(raw)
-        return tuple(self.merges.encode(raw) if ids is None else ids)
+        return self.merges.encode(raw) if ids is None else ids
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
+    def __missing__(self, word: str) -> list[int]:
         if not word.isascii() and _ODD.search(word):
             raise _Odd
-        if len(self) >= _KEPT:
-            self.clear()
-        self[word] = ids = self.find(word)
+        self.new.append(word)
+        self[word] = ids = []
         return ids
 
+    def settle(self) -> None:
+        """Finds or merges all new words together."""
+        raw = [w.encode() for w in self.new]
+        found = self.lexicon.find_many(raw)
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(lacking, self.merges.encode_many([raw[i] for i in lacking]), strict=True):
+            found[i] = ids
+        for word, ids in zip(self.new, found, strict=True):
+            self[word] += ids
+        self.rare += [self.new[i] for i in lacking]
+        self.new.clear()
+        if len(self.rare) > _KEPT:
+            for word in self.rare:
+                del self[word]
+            self.rare.clear()
+
 
 @contextlib.contextmanager
 def _uncollected() -> Iterator[None]:
@@ -313,21 +418,40 @@ class Codec:
         with open(path, "rb") as f:
             return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> list[list[int]]:
+        """The ids of the words of a text without special tokens; those of new words come when the words are settled."""
+        words, get = pretokens(text), self.pieces.__getitem__
         try:
-            return list(chain.from_iterable(map(self.pieces.__getitem__, pretokens(text))))
+            if len(words) <= _BLOCK:
+                return list(map(get, words))
+            ids: list[int] = []
+            for at in range(0, len(words), _BLOCK):
+                some = list(map(get, words[at : at + _BLOCK]))
+                self.pieces.settle()
+                ids += chain.from_iterable(some)
+            return [ids]
         except _Odd:
-            return list(chain.from_iterable(map(self.pieces.find, exact_pretokens(text))))
+            return list(map(self.pieces.find, exact_pretokens(text)))
 
-    def encode(self, text: str) -> list[int]:
+    def _pieces_of(self, text: str) -> list[list[int]]:
         if not (self.cut and "<" in text):
             return self._plain(text)
-        ids, at = [], 0
+        found, at = [], 0
         for m in self.cut.finditer(text):
-            ids += self._plain(text[at : m.start()])
-            ids.append(self.special[m[0]])
+            found += self._plain(text[at : m.start()])
+            found.append([self.special[m[0]]])
             at = m.end()
-        return ids + self._plain(text[at:])
+        return found + self._plain(text[at:])
+
+    def encode_many(self, texts: Iterable[str]) -> Iterator[list[int]]:
+        """The ids of each text; the new words of all are looked up and merged together."""
+        found = list(map(self._pieces_of, texts))
+        self.pieces.settle()
+        for pieces in found:
+            yield list(chain.from_iterable(pieces))
+
+    def encode(self, text: str) -> list[int]:
+        return next(self.encode_many([text]))
 
     def written(self, ids: Iterable[int]) -> bytes:
         """The ids in decimal, joined by single spaces."""
@@ -387,7 +511,8 @@ def compiled(vocabulary: Vocabulary, words: Iterable[str]) -> bytes:
             raw = bytes(back[c] for c in token[: -len(END)])
             if vocabulary.merges.encode(raw) == [i]:
                 entries[raw] = [i]
-    entries |= {w.encode(): vocabulary.encode(w) for w in words}
+    raw = [w.encode() for w in words]
+    entries |= zip(raw, vocabulary.merges.encode_many(raw), strict=True)
     names = [vocabulary.tokens.get(i, "").encode() for i in range(max(vocabulary.tokens) + 1)]
     tables = [(vocabulary.pairs, np.uint64), (vocabulary.made, np.uint32), (vocabulary.units, np.uint32), (np.cumsum([len(n) for n in names]), np.uint32)]
     return _packed(compile_lexicon(entries), *(np.array(x).astype(kind).tobytes() for x, kind in tables), b"".join(names), json.dumps(vocabulary.special).encode())
@@ -439,8 +564,7 @@ def _encoded(docs: DataFrame, vocabulary: str, k: int, schema: str, finish) -> D
             for batch in slices(whole, limit=1 << 20):
                 counts, rows = [], []
                 with _uncollected():
-                    for text in batch.column("text").to_pylist():
-                        ids = codec.encode(text or "")
+                    for ids in codec.encode_many(text or "" for text in batch.column("text").to_pylist()):
                         counts.append(len(ids))
                         rows.append(finish(codec.written(ids), codec.decode(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names)

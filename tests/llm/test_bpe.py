@@ -49,3 +49,37 @@ def test_random_strings(codec, library):
 def test_unknown_ids_are_left_out(codec):
     ids = codec.encode("thin ice")
     assert codec.decode([*ids, 10**6, -1]) == codec.decode(ids) and codec.decode([]) == b""
+
+
+def test_many_words_equal_one_by_one(codec):
+    r = random.Random(5)
+    words = ["".join(r.choice("aabcdeinthé中!0") for _ in range(r.randint(0, 60))).encode() for _ in range(6_000)]
+    words += [b"", b"a", b"aaaaaaa" * 5, b"a" * 40, b"a" * 41, b"x" * 3_000, bytes(range(128, 168)), "thin".encode(), "zzxqy".encode()] + [t.encode() for t in codec.special]
+    merges, lexicon = codec.pieces.merges, codec.pieces.lexicon
+    assert merges.encode_many(words) == [merges.encode(w) for w in words] and merges.encode_many([]) == []
+    assert lexicon.find_many(words) == [lexicon.find(w) for w in words] and lexicon.find_many([]) == []
+    tiny = bpe.Merges([1 << bpe._ID | 1, 2 << bpe._ID | 1, 1 << bpe._ID | 2], [2, 3, 2], [1] * 512)  # later merges make pairs of lower rank
+    runs = [b"a" * k for k in range(12)]
+    assert tiny.encode_many(runs) == [tiny.encode(w) for w in runs]
+
+
+def test_many_texts_equal_one_by_one(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "_KEPT", 50)
+    monkeypatch.setattr(bpe, "_BLOCK", 40)
+    r = random.Random(6)
+    some = ["thin", "the", "naïveté", "<|endoftext|>", "࢈", "!?", "中", *("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(300))]
+    texts = [" ".join(r.choice(some) for _ in range(r.choice((0, 5, 30, 200)))) for _ in range(300)]
+    ids = list(codec.encode_many(texts))
+    assert ids == [codec.encode(t) for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_frequent_words_are_looked_up_once(monkeypatch):
+    monkeypatch.setattr(bpe, "_KEPT", 100)
+    own = bpe.Codec(bpe.compiled(bpe.Vocabulary(bpe.default_vocabulary()), ["frequentt"]))
+    looked, find_many = [], own.pieces.lexicon.find_many
+    monkeypatch.setattr(own.pieces.lexicon, "find_many", lambda words: looked.extend(words) or find_many(words))
+    monkeypatch.setattr(own.pieces, "find", lambda word: looked.append(word.encode()) or pytest.fail("one by one"))
+    r = random.Random(7)
+    for _ in range(60):  # more rare words than are kept
+        own.encode("frequentt " + " ".join("".join(r.choice("qxzjvk") for _ in range(12)) for _ in range(50)))
+    assert looked.count(b"frequentt") == 1 and len(own.pieces) <= 1 + 100 + 50 and len(looked) > 2_000
