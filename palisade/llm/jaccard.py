@@ -14,6 +14,9 @@ differ in more than the similarity allows are left out within the join and never
 Groups of over ``pairs`` sets are first compared with a few of their members, in number of the root of the group's
 size; what is linked by that is one component and is not compared again among itself. So a large group of near copies
 gives links in proportion to its size, not all its pairs; the last join covers every pair that is still apart.
+
+Up to ``few`` links, of two numbers each, are joined to components on the driver; more, as in ``simhash.py``, in rounds
+of tables. Each table costs a file for every task, and executors start a process for each file they write.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from .common import binary_texts, materialize, release, slices, tidied
 from .simhash import _mark, connected_components, fingerprint_of, first_rows, links, shingle_hashes
 
 HOT, SHARE, MOST_HOT, PAIRS, HELD = 2, 8, 200_000, 20, 2_000_000
+#: So many links are joined to components on the driver (8 MB).
+LINKS = 500_000
 #: Sampled turns at most; sets of a sample in root of the group's size; links of a sample in known sets that are few.
 TURNS, LEADS, FEW, CHANCE = 8, 2, 64, 1 << 20
 #: The columns of a set's parities, 64 each.
@@ -116,7 +121,33 @@ def _meets(one: str, two: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & (left * (num + den) >= (n + m) * num) & (differ * (num + den) <= (n + m) * (den - num))
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den: int, hot: int = HOT, share: int = SHARE, pairs: int = PAIRS) -> DataFrame:
+def joined(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of links u, v, sorted, and of each the smallest node reachable."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    one, two = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, down = np.minimum(label[one], label[two]), label.copy()
+        np.minimum.at(down, label[one], low)
+        np.minimum.at(down, label[two], low)
+        while not (down == (next_ := down[down])).all():
+            down = next_
+        if (down == label).all():
+            return nodes, nodes[label]
+        label = down
+
+
+def components(linked: DataFrame, few: int = LINKS) -> DataFrame:
+    """(node, root) of every node of ``linked`` (u, v), which is written; root is the smallest node reachable."""
+    if linked.count() > few:
+        return connected_components(linked)
+    pairs = linked.toArrow()
+    nodes, roots = joined(*(pairs.column(c).to_numpy() for c in ("u", "v")))
+    found = pa.table([nodes, roots], schema=pa.schema([("node", pa.int64()), ("root", pa.int64())]))
+    return materialize(linked.sparkSession.createDataFrame(found, "node long, root long").coalesce(1), "roots")
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den: int, few: int = LINKS, hot: int = HOT, share: int = SHARE, pairs: int = PAIRS) -> DataFrame:
     """(u, v): links between different sets of similarity num / den or more, enough to join all that are similar.
 
     ``prints`` (doc_id, mark, set_id, fp and parities) is of ``docs`` (mark, text).
@@ -136,14 +167,14 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
 
     def verified(found: DataFrame) -> DataFrame:
         found = materialize(found, "candidates")
-        one = materialize(found.select(F.explode(F.array("u", "v")).alias("set_id")).distinct().join(marks, "set_id"), "candidate-marks")
-        few = F.broadcast(one) if one.count() <= HELD else one
-        sets = materialize(texts.join(few, "mark").dropDuplicates(["mark"]).mapInArrow(tidied(_sets(width)), "set_id long, shingles array<long>"), "shingle-sets")
+        one = found.select(F.explode(F.array("u", "v")).alias("set_id")).distinct().join(marks, "set_id")
+        one = F.broadcast(one) if 2 * found.count() <= HELD else one
+        sets = materialize(texts.join(one, "mark").dropDuplicates(["mark"]).mapInArrow(tidied(_sets(width)), "set_id long, shingles array<long>"), "shingle-sets")
         a, b = sets.select(F.col("set_id").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("set_id").alias("v"), F.col("shingles").alias("b"))
         # whole sets are compared row by row in the JVM, so that no batch of them has to fit a worker
         shared = F.size(F.array_intersect("a", "b")).cast("long") * (num + den)
         good = materialize(found.join(a, "u").join(b, "v").where(shared >= (F.size("a") + F.size("b")).cast("long") * num).select("u", "v"), "similar")
-        for done in (found, one, sets):
+        for done in (found, sets):
             release(done)
         return good
 
@@ -152,7 +183,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
         return near.select(F.least("x.set_id", "y.set_id").alias("u"), F.greatest("x.set_id", "y.set_id").alias("v")).distinct()
 
     def rooted_by(found: DataFrame) -> DataFrame:
-        roots = connected_components(found)
+        roots = components(found, few)
         return materialize(rows.join(roots, rows.set_id == roots.node, "left").select(*rows.columns, F.coalesce("root", "set_id").alias("root")), "rooted")
 
     # what the fingerprints bring together: sets of one fingerprint with its least set, and these along links of bits
@@ -187,15 +218,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, width: int, num: int, den:
     return linked.unionByName(rest)
 
 
-def deduplicate_similar(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, **limits: int) -> DataFrame:
+def deduplicate_similar(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, few: int = LINKS, **limits: int) -> DataFrame:
     """One row of each component of near copies, all columns: that with the smallest doc_id.
 
     Rows are linked if the shingles of ``width`` words of their lowered texts have Jaccard similarity num / den or
     more. Null and empty texts are alike. Null and repeated doc_ids count as in ``simhash.deduplicate``.
     """
-    few = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
-    prints = materialize(few.mapInArrow(tidied(_identify(width)), "doc_id long, mark long, set_id long, fp long, " + ", ".join(f"{p} long" for p in PARITY)), "set-ids")
-    roots = connected_components(similar_links(few, prints, width, num, den, **limits))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _mark(F.col("text")).alias("mark"), F.col("text").cast("string").alias("text"))
+    prints = materialize(texts.mapInArrow(tidied(_identify(width)), "doc_id long, mark long, set_id long, fp long, " + ", ".join(f"{p} long" for p in PARITY)), "set-ids")
+    roots = components(similar_links(texts, prints, width, num, den, few, **limits), few)
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark")
     reps = prints.groupBy("set_id").agg(F.min(order).alias("first"))
     return first_rows(docs, reps.join(roots, reps.set_id == roots.node, "left").select("first", F.coalesce("root", "set_id").alias("root")))

@@ -70,3 +70,34 @@ def test_parities_never_differ_more_than_the_sets():
             apart = len(np.setxor1d(one, two))
             differ = int(np.bitwise_count((_parities(np.unique(one)) ^ _parities(np.unique(two))).view(np.uint64)).sum())
             assert differ <= apart and differ % 2 == apart % 2
+
+
+def test_components_on_the_driver_equal_those_of_tables(spark):
+    from palisade.llm.jaccard import components, joined
+
+    r = random.Random(5)
+    pairs = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1060)]
+    r.shuffle(pairs)
+    nodes, roots = joined(*np.array(pairs, np.int64).T)
+    linked = spark.createDataFrame(pairs, "u long, v long")
+    low = {n: n for p in pairs for n in p}
+    for _ in low:
+        for u, v in pairs:
+            low[u] = low[v] = min(low[u], low[v])
+    assert dict(zip(nodes.tolist(), roots.tolist(), strict=True)) == low
+    here, there = ({x.node: x.root for x in components(linked, few).collect()} for few in (len(pairs), len(pairs) - 1))
+    assert here == low and all(low[n] == n for n in low.keys() - there.keys()) and there.items() <= low.items()
+    assert components(linked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{}, {"few": 0}])
+def test_few_links_need_no_rounds_of_tables(spark, monkeypatch, limits):
+    from palisade.llm import jaccard, simhash
+
+    written = []
+    for module in (jaccard, simhash):
+        monkeypatch.setattr(module, "materialize", lambda df, name, f=module.materialize: written.append(name) or f(df, name))
+    docs = [(int(i), t) for i, t in pd.read_parquet(f"{WHERE}/documents.parquet")[["doc_id", "text"]].itertuples(index=False)]
+    got = jaccard.deduplicate_similar(spark.read.parquet(f"{WHERE}/documents.parquet"), **limits)
+    assert sorted(x.doc_id for x in got.collect()) == _first_of_each(docs)
+    assert ("edges" in written) == bool(limits) and "candidate-marks" not in written
